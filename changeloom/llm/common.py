@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts handled at a time inside a Python worker, in characters. Bounds the memory of a batch, not the work.
@@ -62,7 +63,7 @@ def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list]:
         last = cols[-1]
         sizes = np.zeros(len(last), np.int64)
         if pa.types.is_string(last.type) or pa.types.is_large_string(last.type):
-            sizes = pa.compute.binary_length(last).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.binary_length(last).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = (np.cumsum(sizes) // SUB_BATCH_CHARS).astype(np.int64) if len(last) else sizes
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(last)]
         for a, z in zip(starts[:-1], starts[1:], strict=True):
@@ -91,16 +92,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def coded(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """A list<string> array as codes of its values, the distinct values, and the number of values of each row."""
-    lens = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     made = lists.flatten().dictionary_encode()
     return made.indices.to_numpy(zero_copy_only=False), made.dictionary, lens
 
 
 def ascii_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of each text (null: none), A-Z in lower case: codes, distinct words, words per text."""
-    lower = pa.compute.ascii_lower(text.fill_null(""))
-    codes, words, lens = coded(pa.compute.ascii_split_whitespace(lower))
-    empty = pa.compute.index(words, "").as_py() if len(words) else -1
+    lower = pc.ascii_lower(text.fill_null(""))
+    codes, words, lens = coded(pc.ascii_split_whitespace(lower))
+    empty = pc.index(words, "").as_py() if len(words) else -1
     if empty >= 0:
         keep = codes != empty
         ends = np.concatenate([[0], np.cumsum(lens)])

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changeloom.llm import chat, token_blocks, token_count, word_bpe
+from changeloom.llm import chat, decontam, near_dup, repeats, token_blocks, token_count, word_bpe
 from changeloom.llm.common import table
 
 
@@ -16,10 +17,24 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read(spark, files, digest=True)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["begin"]), F.lit(0))
+    return repeats.remove_repeats(docs).select("doc_id", "text", "removed", size.alias("removed_chars"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "message", "user", odd, None), (-1, 1, "message", "assistant", odd, None)], chat.EVENTS)
@@ -34,7 +49,10 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_repeats": op2_repeats,
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_decontaminate": op6_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op10_word_bpe": op10_word_bpe,
 }

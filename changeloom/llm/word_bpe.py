@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def word_table(path: str) -> WordTable:
 def pieces_of(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about SUB_BATCH_CHARS characters."""
     text = batch.column(batch.schema.get_field_index(text_col))
-    size = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     cut = np.cumsum(size) // SUB_BATCH_CHARS
     starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(text)]
     for a, z in zip(starts[:-1], starts[1:], strict=True):
