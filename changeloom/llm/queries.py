@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, decontam, near_dup, repeats, token_blocks, token_count, word_bpe
+from changeloom.llm import chat, decontam, near_dup, repeats, token_blocks, token_count, vectors, word_bpe
 from changeloom.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "message", "user", odd, None), (-1, 1, "message", "assistant", odd, None)], chat.EVENTS)
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
+    "op7_vector_duplicates": op7_vector_duplicates,
     "op8_chat_format": op8_chat_format,
     "op10_word_bpe": op10_word_bpe,
 }
