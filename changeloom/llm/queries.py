@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, decontam, near_dup, repeats, token_blocks, token_count, vectors, word_bpe
+from changeloom.llm import chat, decontam, near_dup, quality, repeats, token_blocks, token_count, vectors, word_bpe
 from changeloom.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeats": op2_repeats,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_vector_duplicates": op7_vector_duplicates,
     "op8_chat_format": op8_chat_format,
