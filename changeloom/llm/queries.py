@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, decontam, near_dup, quality, repeats, token_blocks, token_count, vectors, word_bpe
+from changeloom.llm import chat, decontam, hmm_lm, near_dup, quality, repeats, token_blocks, token_count, vectors, word_bpe
 from changeloom.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_log(chat.events_of(table(spark, sf_dir, "conversations")).unionByName(added)))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm_lm.scored(docs, *hmm_lm.train(docs))
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_vector_duplicates": op7_vector_duplicates,
     "op8_chat_format": op8_chat_format,
+    "op9_language_model": op9_language_model,
     "op10_word_bpe": op10_word_bpe,
 }
 
