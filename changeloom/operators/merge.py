@@ -45,7 +45,7 @@ def collapse(log: DataFrame, keys: list[str], values: list[str], mode: str = "co
     sent = {c: F.when(~_left_out(log, c), rank) for c in values}
     data += [F.max_by(F.struct(rank.alias("at"), F.col(c).alias("v")), sent[c]).alias(c) for c in values]
     out = log.groupBy(*keys).agg(*data)
-    fresh = lambda c: F.col(c).isNotNull() & (F.col("_gone").isNull() | (F.col(f"{c}.at") >= F.col("_gone")))
+    fresh = lambda c: F.col(c).isNotNull() & (F.col("_gone").isNull() | (F.col(f"{c}.at") > F.col("_gone")) | ((F.col("op") == DELETE) & (F.col(f"{c}.at") == F.col("_gone"))))
     known = lambda c: fresh(c) | F.col("_gone").isNotNull()
     return out.select(*keys, "op", *[F.struct(known(c).alias("known"), F.when(fresh(c), F.col(f"{c}.v")).alias("v")).alias(c) for c in values])
 
