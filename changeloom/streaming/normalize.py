@@ -43,9 +43,17 @@ class Normalizer:
         self.job.check()
         log = log.persist()
         try:
-            counts = log.groupBy("src_schema", "src_table").agg(F.count("*").alias("n"), F.max("commit_ts").alias("commit")).collect()
-            self._evolve(log)
+            # One row a table: what the batch holds, so that steps it doesn't need start no job.
+            held = lambda op: F.count_if(F.col("op") == op)
+            counts = log.groupBy("src_schema", "src_table").agg(F.count("*").alias("n"), F.max("commit_ts").alias("commit"), held(SCHEMA_CHANGE).alias("changes"), held(TRUNCATE).alias("truncates")).collect()
+            if any(r.truncates for r in counts):
+                raise NotImplementedError("a truncated table needs a new snapshot")
+            if any(r.changes for r in counts):
+                self._evolve(log)
+            found = {f"{r.src_schema}.{r.src_table}" if r.src_schema else r.src_table for r in counts}
             for name, target in self.targets.items():
+                if name not in found:
+                    continue
                 schema, _, table = name.rpartition(".")
                 mine = log.where((F.col("src_table") == table) & F.coalesce(F.col("src_schema") == schema, F.lit(not schema)))
                 rows = typed_rows(mine, target.schema, target.keys)
@@ -66,8 +74,6 @@ class Normalizer:
         known = {n: {f.name: f.dataType.simpleString() for f in t.schema.fields} for n, t in self.targets.items()}
         for name, column, kind in plan(known, [d for d in described if d[0] in self.targets]):
             self.targets[name].add_columns([T.StructField(column, spark_type(kind))])
-        if log.where(F.col("op") == TRUNCATE).limit(1).count():
-            raise NotImplementedError("a truncated table needs a new snapshot")
 
 
 def start(stream: DataFrame, normalizer: Normalizer, checkpoint: str, once: bool = True):

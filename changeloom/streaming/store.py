@@ -110,7 +110,7 @@ class Target:
         out = ops.merge(self.read([r.b for r in touched]), log, self.keys, self.values, self.deletes, self.mode)
         version = f"v={self.state['version'] + 1:08d}"
         self.files.remove(version)  # left by an attempt that wasn't published
-        out.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        out.withColumn("_bucket", bucket).repartition(min(len(touched), self.buckets), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
         written = {n.split("=")[1] for n in Files(self.spark, f"{self.path}/{version}").folders() if n.startswith("_bucket=")}
         folders = {b: v for b, v in self.state["folders"].items() if int(b) not in {r.b for r in touched}} | dict.fromkeys(written, version)
         high = max([int(r.pos) for r in touched if r.pos is not None] + ([int(self.state["pos"])] if self.state["pos"] is not None else []), default=None)
