@@ -186,8 +186,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     mixed = met.groupBy("i", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("i", "h")
     met = materialize(met.join(mixed, ["i", "h"]), "met")
     free_disk(docs)
-    groups = met.select("i", "h", F.col("c").alias("c2")).distinct()
-    ask = met.join(groups, ["i", "h"]).where("c < c2")
+    # A class asks the components it meets; one of a single class can be ruled out at once, others by the sizes of their sets.
+    groups = met.groupBy("i", "h", F.col("c").alias("c2")).agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.first("sketch").alias("sketch2"))
+    in_reach = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
+    ask = met.join(groups, ["i", "h"]).where((F.col("c") < F.col("c2")) & in_reach & ((F.col("members") > 1) | F.expr(plausible("sketch", "sketch2", percent))))
+    ask = ask.drop("members", "least", "most", "sketch2")
     other = met.select("i", "h", F.col("c").alias("c2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("half").alias("half2"), F.col("sketch").alias("sketch2"))
     equal = lambda k: F.col("half")[k] == F.col("half2")[k]
     first_met = reduce(lambda x, y: x & y, [(F.col("i") <= k) | ~equal(k) for k in range(M)])
