@@ -1,7 +1,9 @@
 """Operator 6: benchmark decontamination with a BM25 index and block-max WAND.
 
 The test items are the indexed side. Weights are BM25 scores divided by the item's score for its own words, so a passage that
-holds all words of an item scores 1. Every passage of every document (a window of WINDOW words, one each STEP words) is a
+holds all words of an item scores 1. Items of more than SEGMENT words are indexed whole and also as consecutive segments of at most
+SEGMENT words, each with weights that sum to 1; an item's score is that of its best entry. A segment lies inside one passage
+wherever it stands, so an item copied word for word is retrieved at any length. Every passage of every document (a window of WINDOW words, one each STEP words) is a
 query; all items with a score of at least `threshold` are retrieved by block-max WAND, behind a bound that sums the largest
 weight of each distinct word of a window. Retrieved pairs are verified on the document's whole text: the share of the
 item's word 5-grams that end in its question, and of those that end in its answer (its last sentence), must both reach `overlap`.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from changeloom.llm.common import ascii_words, columns, materialize, mix, word_hashes
 
 WINDOW, STEP, GRAM, BLOCK = 64, 32, 5, 16
+#: Any run of so many words lies inside one passage.
+SEGMENT = WINDOW - STEP
 SHARD_WORDS = 1_000_000
 #: Words in more than this share of the items (and in more than three) have no weight.
 COMMON = 0.03
@@ -39,6 +43,12 @@ def plain(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pN]+", "")
 
 
+def parts(words: list[str]) -> list[list[str]]:
+    """The words, and if they are more than SEGMENT also consecutive segments of nearly equal length."""
+    n = -(-len(words) // SEGMENT)
+    return [words] + [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)] * (n > 1)
+
+
 def rolled(h: np.ndarray) -> np.ndarray:
     """Hashes of all runs of GRAM word hashes."""
     n = max(0, len(h) - GRAM + 1)
@@ -49,7 +59,7 @@ def rolled(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Impact-ordered blocks of postings, sorted by item, and the 5-grams of every item."""
+    """Impact-ordered blocks of postings, sorted by entry (an item, or a segment of a long one), and the 5-grams of every item."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.names = [i for i, _ in items]
@@ -63,15 +73,18 @@ class Index:
         n, mean = len(items), max(1.0, sum(map(len, tokens)) / max(1, len(items)))
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) if d <= max(3, COMMON * n) else 0.0 for w, d in df.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
+        self.of: list[int] = []  # the item of each entry
         for k, (c, t) in enumerate(zip(counts, tokens, strict=True)):
             each = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(t) / mean)) for w, f in c.items()}
             own = sum(each.values())
             if len(t) >= GRAM and not own:  # only common words: they share the weight
                 each, own = dict.fromkeys(c, 1.0), float(len(c))
-            if len(t) >= GRAM:
-                for w, s in each.items():
-                    if s:
-                        lists.setdefault(w, []).append((k, s / own))
+            for part in (parts(t) if len(t) >= GRAM else []):
+                held = {w: each[w] for w in part if each[w]}
+                if own := sum(held.values()):
+                    for w, s in held.items():
+                        lists.setdefault(w, []).append((len(self.of), s / own))
+                    self.of.append(k)
         self.terms = list(lists)
         self.items = [[k for k, _ in lists[w]] for w in self.terms]
         self.weights = [[s for _, s in lists[w]] for w in self.terms]
@@ -84,8 +97,8 @@ class Index:
         self.values = pa.array(self.terms, pa.string())
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items that score at least the threshold for the distinct terms: block-max WAND with a fixed threshold."""
-        end = len(self.names)
+        """All entries that score at least the threshold for the distinct terms: block-max WAND with a fixed threshold."""
+        end = len(self.of)
         lists = [[self.items[t][0], 0, t] for t in terms]  # current item, place, term
         found = []
         while True:
@@ -198,7 +211,8 @@ def search(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
     best: dict[tuple[int, int], float] = {}
     for k in np.flatnonzero(both >= threshold).tolist():
         a, z = np.searchsorted(of, [k, k + 2 if owner[k + 1] == owner[k] else k + 1])
-        for item, score in index.retrieve(np.unique(t[a:z]).tolist(), threshold):
+        for entry, score in index.retrieve(np.unique(t[a:z]).tolist(), threshold):
+            item = index.of[entry]
             best[owner[k], item] = max(score, best.get((owner[k], item), 0.0))
     out, h = [], None
     grams: dict[int, np.ndarray] = {}

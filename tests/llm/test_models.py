@@ -99,6 +99,17 @@ def test_leaks(spark):
     assert decontam.leaks(frame, table.where("false")).count() == 0 and decontam.leaks(frame.where("false"), table).count() == 0
 
 
+def test_long_items_are_found(spark):
+    """Items of 33 to 500 words, word for word at any offset."""
+    r = random.Random(5)
+    bench = [(k, " ".join(f"{r.choice('abcdefgh')}{r.randrange(400)}" for _ in range(n)) + ". The answer is " + f"{r.randrange(99999)} of them all.") for k, n in enumerate([33, 64, 100, 130, 150, 200, 300, 400, 500] * 4)]
+    noise = lambda n: " ".join(f"noise{r.randrange(3000)}" for _ in range(n))
+    docs = [(k, f"{noise(r.randrange(90))} {t} {noise(r.randrange(90))}") for k, t in bench]
+    docs += [(100 + k, noise(20) + " " + " ".join(t.split()[: len(t.split()) // 3])) for k, t in bench]  # a third of an item isn't the item
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in bench}
+
+
 def test_shards_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD_WORDS", 300)
     bench = items()
