@@ -1,4 +1,4 @@
-"""Operator 2: substring dedup by hashing lines and paragraphs.
+"""Operator 2: substring dedup by hashing lines and paragraphs, and long runs of words wherever they begin.
 
 A text is cut into units: lines, and within lines the stretches that begin with an upper-case letter after a space or follow
 the end of a sentence. A paragraph is a run of consecutive units with at least `min_words` words, the shortest that starts (or
@@ -7,6 +7,12 @@ Paragraphs are normalised (lower case, single spaces) and hashed; digests are gr
 the lowest rank (doc_id, then position) stays and every unit of the later ones is removed, with the line break after it when its
 line is gone. The offsets of what was removed are kept, in characters of the original text.
 
+Besides, every run of LONG words that stands earlier is removed, without regard to units. The sketch of such a run is the least hash
+of its runs of ANCHOR words, so neighbouring runs mostly have one sketch, and equal runs have equal ones. Sketches are grouped over
+all documents first; then only runs whose sketch repeats are hashed in full and grouped, each by itself; so passages of LONG words and
+more go up to their edges. Where paragraphs took a part of one, what is left at its sides goes if it has EDGE words. An occurrence that
+overlaps the first one in the same document is no repeat of it.
+
 Within a batch only the first occurrence of a digest enters the shuffle, and later ones are known as repeats at once; so a
 passage that stands in a third of all documents gives at most one row a batch.
 
@@ -26,9 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import coded, columns, materialize, mix, word_hashes
+from changeloom.llm.common import coded, columns, discard, materialize, mix, word_hashes
 
 MIN_WORDS = 30
+LONG, ANCHOR, EDGE = 51, 26, 5
+#: A span is begin << 32 | end where it is one number.
+LOW = 0xFFFFFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = (".", "!", "?", "…", "。", "！", "？")
 
@@ -83,6 +92,11 @@ class Units:
         inverse = np.ones(len(at) + 1, np.uint64)
         if len(at):
             inverse[1:] = np.multiply.accumulate(np.full(len(at), np.uint64(pow(int(_STEP), -1, 2**64)), np.uint64))
+        self.total, self.inverse = total, inverse
+        #: Of each word its text and its place there, in characters.
+        self.word_doc = doc
+        self.word_begin = ends[at] - ends[first_word[doc]]
+        self.word_end = self.word_begin + (size[c] if len(c) else 0)
         count = np.concatenate([[0], np.cumsum(self.words)])  # words up to each unit
         n = len(self.unit)
         docs_end = np.searchsorted(self.doc, self.doc, side="right")
@@ -97,6 +111,131 @@ class Units:
         a, z = count[self.lo], count[self.hi]
         self.digest = mix(mix((total[z] - total[a]) * inverse[a]) + (z - a).astype(np.uint64)).view(np.int64)
 
+    def runs(self, n: int) -> np.ndarray:
+        """Digests of the runs of n words, by their first word; those at the end of a text go on in the next one."""
+        k = max(0, len(self.word_doc) - n + 1)
+        return mix(mix((self.total[n : n + k] - self.total[:k]) * self.inverse[:k]) + np.uint64(n))
+
+    def long_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of all runs of LONG words inside one text, and their sketches."""
+        least, width, want = self.runs(ANCHOR), 1, LONG - ANCHOR + 1
+        while width < want:
+            step = min(width, want - width)
+            least, width = np.minimum(least[: max(0, len(least) - step)], least[step:]), width + step
+        at = np.flatnonzero(self.word_doc[: len(least)] == self.word_doc[LONG - 1 : LONG - 1 + len(least)])
+        return at, least[at].view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sketch, doc_id, key, more): the first of each sketch in a batch has it as key, with more set if the batch has others; those have a key of their own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, text in columns(batches, id_col, text_col):
+            keep = ids.is_valid()
+            ids, text = ids.filter(keep), text.filter(keep)
+            u = Units(text, MIN_WORDS)
+            at, sketch = u.long_runs()
+            if not len(at):
+                continue
+            # Runs with one anchor in common; more than there can be hold equal anchors.
+            new = np.append(True, (sketch[1:] != sketch[:-1]) | (at[1:] != at[:-1] + 1))
+            first = np.flatnonzero(new)
+            long = np.diff(np.append(first, len(at))) > LONG - ANCHOR + 1
+            of, sketch = u.word_doc[at[first]], sketch[first]
+            order = np.lexsort((of, sketch))
+            sketch, of, long = sketch[order], of[order], long[order]
+            again = np.append(False, sketch[1:] == sketch[:-1])
+            head = np.flatnonzero(~again)
+            more = np.zeros(len(sketch), bool)
+            more[head] = np.logical_or.reduceat(again | long, head)
+            doc_id = ids.to_numpy(zero_copy_only=False).astype(np.int64)[of]
+            own = mix(mix(sketch.view(np.uint64)) + doc_id.astype(np.uint64)).view(np.int64)
+            once = ~again | np.append(True, (sketch[1:] != sketch[:-1]) | (of[1:] != of[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (sketch, doc_id, np.where(again, own, sketch), more | again)], names=["sketch", "doc_id", "key", "more"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "sketch long, doc_id long, key long, more boolean")
+
+
+def long_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, runs): runs of LONG words that repeat an occurrence of lower rank, joined where they overlap, as [begin, end) offsets in characters."""
+    by = W.partitionBy("key")
+    rows = sketches(docs, id_col, text_col)
+    rows = rows.withColumn("n", F.count("*").over(by)).withColumn("any", F.max("more").over(by)).where("n > 1 or any")
+    wanted = materialize(rows.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("sketch").alias("_sketches")), "sketches")
+    docs.sparkSession._jvm.System.gc()
+    some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, F.col(id_col) == F.col("_of")).select(id_col, "_sketches", text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, wanted, text in columns(batches, id_col, "_sketches", text_col):
+            u = Units(text, MIN_WORDS)
+            at, sketch = u.long_runs()
+            at = at[np.isin(sketch, wanted.flatten().to_numpy(zero_copy_only=False))]
+            if not len(at):
+                continue
+            digest = u.runs(LONG)[at].view(np.int64)
+            doc_id = ids.to_numpy(zero_copy_only=False).astype(np.int64)[u.word_doc[at]]
+            begin, end = u.word_begin[at], u.word_end[at + LONG - 1]
+            order = np.lexsort((begin, u.word_doc[at], doc_id, digest))
+            d, doc_id, begin, end = digest[order], doc_id[order], begin[order], end[order]
+            same = np.append(False, d[1:] == d[:-1])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
+            again = same & ((doc_id != doc_id[head]) | (begin >= end[head]))
+            # Runs that repeat one of the batch are known at once and joined; the others keep the order of the texts, which packs better.
+            row, at, to = joined_runs(u.word_doc[at][order][again], begin[again], end[again])
+            late = ids.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            own = mix(mix(late.view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
+            rest = np.flatnonzero(~again)
+            rest = rest[np.argsort(order[rest])]
+            parts = ((d[rest], own), (doc_id[rest], late), (begin[rest] << 32 | end[rest], at << 32 | to), (again[rest], np.ones(len(late), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["digest", "doc_id", "span", "again"])
+
+    by = W.partitionBy("digest").orderBy("again", "doc_id", "span")
+    rows = some.mapInArrow(run, "digest long, doc_id long, span long, again boolean")
+    rows = rows.withColumn("place", F.row_number().over(by)).withColumn("first", F.first(F.struct("doc_id", "span")).over(by))
+    rows = rows.where(f"again or place > 1 and (doc_id <> first.doc_id or shiftright(span, 32) >= first.span & {LOW})")
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(1)
+            size = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
+            span = spans.flatten().to_numpy(zero_copy_only=False)
+            row, begin, end = joined_runs(np.repeat(np.arange(len(size)), size), span >> 32, span & LOW)
+            runs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["begin", "end"])
+            ends = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), runs)], names=["doc_id", "runs"])
+
+    grouped = rows.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    out = materialize(grouped.mapInArrow(joined, "doc_id long, runs array<struct<begin:int,end:int>>"), "runs")
+    discard(wanted)
+    docs.sparkSession._jvm.System.gc()
+    return out
+
+
+def joined_runs(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the spans, those of a row that overlap or touch made one."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order].astype(np.int64), begin[order].astype(np.int64), end[order].astype(np.int64)
+    far = np.maximum.accumulate(row << 32 | end) & LOW  # the furthest end so far in the same row
+    new = np.append(True, (row[1:] != row[:-1]) | (begin[1:] > far[:-1] + 1))[: len(row)]
+    first = np.flatnonzero(new)
+    return row[first], begin[first], far[np.append(first[1:], len(row)) - 1] if len(row) else end
+
+
+def with_sides(text: str, spans: list[tuple[int, int]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, and of each run what they leave: all if they touch nothing of it, else pieces of at least EDGE words."""
+    more = []
+    for begin, end in runs:
+        inside = [(a, z) for a, z in spans if a < end and z > begin]
+        at = begin
+        for a, z in [*inside, (end, end)]:
+            piece = text[at : max(at, a)]
+            if said := piece.strip(" \n"):
+                if not inside or len(said.split()) >= EDGE:
+                    lead = len(piece) - len(piece.lstrip(" \n"))
+                    more.append((at + lead, at + lead + len(said)))
+            at = max(at, z)
+    return merged(spans + more) if more else spans
+
 
 def paragraphs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(digest, doc_id, begin, end, again): the first of each digest in a batch; later ones with again set and a digest of their own."""
@@ -156,7 +295,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed") -> DataFrame:
     """docs with repeats removed from text_col and, in spans_col, the offsets of what was removed (null: nothing)."""
-    found = materialize(repeated_spans(docs, min_words, id_col, text_col).withColumnRenamed("doc_id", "_of").withColumnRenamed("spans", "_spans"), "spans")
+    long = long_repeats(docs, id_col, text_col)
+    spans = repeated_spans(docs, min_words, id_col, text_col).join(long, "doc_id", "full")
+    found = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"), F.col("runs").alias("_runs")), "spans")
+    discard(long)
     docs.sparkSession._jvm.System.gc()
     names = [c for c in docs.columns if c != spans_col]
     joined = docs.select(*names).join(found, F.col(id_col) == F.col("_of"), "left").drop("_of")
@@ -165,10 +307,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(len(names))
+            spans, long = b.column(len(names)), b.column(len(names) + 1)
             text = b.column(place)
-            if spans.null_count < len(spans):
-                runs = [s and merged([(x["begin"], x["end"]) for x in s]) for s in spans.to_pylist()]
+            if spans.null_count < len(spans) or long.null_count < len(long):
+                pairs = lambda s: merged([(x["begin"], x["end"]) for x in s or []])
+                runs = [None if t is None or s is None and more is None else with_sides(t, pairs(s), pairs(more)) for t, s, more in zip(text.to_pylist(), spans.to_pylist(), long.to_pylist(), strict=True)]
                 text = pa.array([t if s is None or t is None else cut(t, s) for t, s in zip(text.to_pylist(), runs, strict=True)], text.type)
                 spans = pa.array([s and [{"begin": a, "end": z} for a, z in s] for s in runs], spans.type)
             cols = [*b.columns[: len(names)]]

@@ -149,6 +149,40 @@ def test_passage_stays_once_and_other_words_stay(spark):
     assert repeats.kept_text(docs.where("false")).count() == 0
 
 
+def long_docs():
+    """Lower-case texts without punctuation or line ends, with passages at any place; one repeats itself, one is periodic."""
+    r = random.Random(8)
+    plain = lambda n: [f"q{r.randrange(5000)}" for _ in range(n)]
+    passages = [plain(n) for n in (50, 51, 52, 60, 81, 86, 300)]
+    docs = [(k, plain(r.randrange(70)) + passages[k % 7] + plain(r.randrange(70))) for k in range(28)]
+    docs += [(100, plain(20) + 3 * passages[4] + plain(9)), (101, ["a"] * 160), (102, ["b", *["a"] * 160]), (103, plain(400))]
+    return [(d, " ".join(w)) for d, w in docs]
+
+
+def test_long_runs_are_those_of_brute_force(spark):
+    docs, seen, want = long_docs(), {}, {}
+    for d, text in docs:
+        words, gone = text.split(), set()
+        for k in range(len(words) - 50):
+            key = tuple(words[k : k + 51])
+            first = seen.setdefault(key, (d, k))
+            if first[0] != d or k >= first[1] + 51:
+                gone |= set(range(k, k + 51))
+        want[d] = " ".join(w for k, w in enumerate(words) if k not in gone)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text.strip() for r in repeats.kept_text(frame).collect()}
+    assert got == want
+    assert sum(len(got[d].split()) < len(t.split()) for d, t in docs) == 21
+    assert len(got[101].split()) == 51
+
+
+def test_sides_of_removed_paragraphs():
+    text = "one two Alpha beta gamma. three four five six seven"
+    para = (8, 25)
+    assert repeats.with_sides(text, [para], [(0, len(text))]) == [(8, len(text))]
+    assert repeats.with_sides(text, [], [(4, 19)]) == [(4, 18)] and repeats.with_sides(text, [para], []) == [para]
+
+
 def test_cut():
     assert repeats.cut("a B c", [(2, 3)]) == "a c" and repeats.cut("B\nc", [(0, 1)]) == "c" and repeats.cut("a\nB\nc", [(2, 3)]) == "a\nc" and repeats.cut("B", [(0, 1)]) == ""
 
