@@ -5,9 +5,9 @@ class of its own, all others share SHARED classes by their last two characters.
 (c + 1) / (n + v + 1), with its training count c, the class's training tokens n and distinct tokens v, so one share is left
 for tokens never seen. The probability of a text is that of its classes, by the scaled forward recursion, times those inside classes.
 
-Training: token counts over all training texts are gathered by shuffle. Baum-Welch starts from a bounded sample of training
-texts (START_DOCS of least hash, of at most START_WORDS words) and ends with one pass over all training texts, whose expected
-counts are summed within and then across partitions.
+Training: token counts over all training texts are gathered by shuffle; Baum-Welch starts from these counts with random shares of the
+states. Each of its PASSES goes over all training texts, whose expected counts are summed within and then across partitions. The
+texts' classes are written once, to be read by every pass.
 
 Counts of the HOT most frequent tokens (a bounded number) travel to every task. The other tokens of each text are joined to
 their counts by shuffle and summed by text.
@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ascii_words, columns, materialize
+from changeloom.llm.common import ascii_words, columns, discard, materialize
 
 STATES, OWN, SHARED, HOT, LONG = 8, 4096, 256, 200_000, 64
-START_DOCS, START_WORDS, START_STEPS = 600, 3000, 12
+PASSES = 13
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 SMOOTH = 0.01
@@ -125,20 +125,35 @@ def forward(model: Model, seq: np.ndarray, count: np.ndarray, keep: bool = False
 
 def expected(model: Model, seq: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, moves and emissions over the sequences."""
-    _, scale, alpha = forward(model, seq, count, keep=True)
-    gamma = alpha  # the last token of each sequence has beta 1
-    move = np.zeros((STATES, STATES))
+    if not len(seq):
+        return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((model.classes, STATES))
+    # All t-th tokens stand together, so each step works on slices; those of step t + 1 follow the first ones of step t.
     steps = list(chains(count))
-    beta = np.ones((len(count), STATES))  # in the order of chains
+    size = np.array([len(at) for at in steps])
+    ends = np.concatenate([[0], np.cumsum(size)]).tolist()
+    seq = seq[np.concatenate(steps)]
+    p = model.emit[seq]
+    gamma = np.empty((len(seq), STATES))
+    now = None
+    for a, z in zip(ends[:-1], ends[1:], strict=True):
+        x = p[a:z]
+        f = (model.start if now is None else now[: z - a] @ model.move) * x
+        s = f.sum(axis=1, keepdims=True)
+        x /= s
+        now = np.divide(f, s, out=gamma[a:z])
+    move = np.zeros((STATES, STATES))
+    beta = np.ones((len(count), STATES))
+    back = np.ascontiguousarray(model.move.T)
     for t in range(len(steps) - 2, -1, -1):
-        at = steps[t + 1] - 1
-        b = model.emit[seq[at + 1]] * beta[: len(at)] / scale[at + 1][:, None]
-        move += alpha[at].T @ b
-        beta[: len(at)] = b @ model.move.T
-        gamma[at] = alpha[at] * beta[: len(at)]
-    first = gamma[steps[0]].sum(axis=0) if steps else np.zeros(STATES)
+        a, z = ends[t + 1], ends[t + 2]
+        b = p[a:z]
+        b *= beta[: z - a]
+        before = gamma[ends[t] : ends[t] + z - a]
+        move += before.T @ b
+        np.matmul(b, back, out=beta[: z - a])
+        before *= beta[: z - a]
     emit = np.stack([np.bincount(seq, weights=gamma[:, s], minlength=model.classes) for s in range(STATES)], axis=1)
-    return first, move * model.move, emit
+    return gamma[: size[0]].sum(axis=0), move * model.move, emit
 
 
 def update(model: Model, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
@@ -147,6 +162,44 @@ def update(model: Model, first: np.ndarray, move: np.ndarray, emit: np.ndarray)
     model.emit = (emit + SMOOTH) / (emit + SMOOTH).sum(axis=0, keepdims=True)
 
 
+def classes_of(texts: DataFrame, model: Model) -> DataFrame:
+    """(seq, count): the classes of many texts a row, and their tokens a text, as bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for (text,) in columns(batches, "text"):
+            seq, count, _, _ = m.sequences(text)
+            yield pa.RecordBatch.from_arrays([pa.array([seq.astype(np.min_scalar_type(m.classes)).tobytes()], pa.binary()), pa.array([count.astype(np.int64).tobytes()], pa.binary())], names=["seq", "count"])
+
+    return texts.select("text").mapInArrow(run, "seq binary, count binary")
+
+
+def expected_over(chained: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch: expected starts, moves and emissions over all rows of classes_of."""
+    shared = chained.sparkSession.sparkContext.broadcast(Model(0, 0, {}, model.own, model.inside, model.start, model.move, model.emit))
+    names = [f"x{s}" for s in range(STATES)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        sums = np.zeros((1 + STATES + m.classes, STATES))
+        for b in batches:
+            for seq, count in zip(b.column(0), b.column(1), strict=True):
+                kind = np.frombuffer(seq.as_buffer(), np.min_scalar_type(m.classes)).astype(np.int64)
+                first, move, emit = expected(m, kind, np.frombuffer(count.as_buffer(), np.int64))
+                sums += np.vstack([first[None], move, emit])
+        row = np.flatnonzero(sums.any(axis=1))
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(sums[row, s]) for s in range(STATES))], names=["row", *names])
+
+    sums = np.zeros((1 + STATES + model.classes, STATES))
+    rows = chained.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in names))
+    for r in rows.groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).collect():
+        sums[r.row] = r[1:]
+    shared.unpersist()
+    return sums[0], sums[1 : 1 + STATES], sums[1 + STATES :]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of all training counts."""
     spark = docs.sparkSession
@@ -168,35 +221,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         inside[r.k] += r.n + r.v
     model = Model(total, distinct, hot, own, np.log10(inside))
 
-    sample = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(START_DOCS)
-    few = texts.join(F.broadcast(sample.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    few = sorted(r.text or "" for r in few.where(f"coalesce(length(text), 0) <= {8 * START_WORDS}").select("text").collect())
-    seq, count, _, _ = model.sequences(pa.array(few, pa.string()))
-    rng = np.random.default_rng(9)
-    seen = np.bincount(seq, minlength=model.classes)[:, None] + 1.0
-    noise = seen * rng.dirichlet(np.ones(STATES), model.classes) * STATES
-    update(model, np.ones(STATES), np.ones((STATES, STATES)) + 20 * np.eye(STATES), noise)
-    for _ in range(START_STEPS if len(few) else 0):
-        update(model, *expected(model, seq, count))
-
-    shared_model = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared_model.value
-        sums = np.zeros((1 + STATES + m.classes, STATES))
-        for (text,) in columns(batches, "text"):
-            seq, count, _, _ = m.sequences(text)
-            first, move, emit = expected(m, seq, count)
-            sums += np.vstack([first[None], move, emit])
-        row, state = np.nonzero(sums)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(state), pa.array(sums[row, state])], names=["row", "state", "x"])
-
-    sums = np.zeros((1 + STATES + model.classes, STATES))
-    for r in texts.select("text").mapInArrow(run, "row long, state long, x double").groupBy("row", "state").agg(F.sum("x").alias("x")).collect():
-        sums[r.row, r.state] = r.x
-    if len(few):
-        update(model, sums[0], sums[1 : 1 + STATES], sums[1 + STATES :])
+    seen = np.ones(model.classes)
+    seen[: len(own)] += [hot[w] for w in own]
+    for r in rest:
+        seen[len(own) + r.k] += r.n
+    noise = np.random.default_rng(9).dirichlet(np.ones(STATES), model.classes) * STATES
+    update(model, np.ones(STATES), np.ones((STATES, STATES)) + 20 * np.eye(STATES), seen[:, None] * noise)
+    if total:
+        chained = materialize(classes_of(texts, model), "classes")
+        for _ in range(PASSES):
+            update(model, *expected_over(chained, model))
+        discard(chained)
     return model, counts
 
 

@@ -169,6 +169,27 @@ def test_language_model(spark, monkeypatch, hot):
     assert hmm_lm.scored(frame, *hmm_lm.train(frame.where("false"))).count() == len(docs) + 1
 
 
+def test_language_model_learns_from_all_training_texts(spark):
+    """Texts of over 24,000 characters, as a corpus of books has: the model must equal Baum-Welch by plain loops over all of them."""
+    r = random.Random(4)
+    docs = [(k, " ".join(r.choice(["red", "blue", "green"] if (t // 5) % 2 else ["uno", "dos", "tres"]) for t in range(6000))) for k in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    m, _ = hmm_lm.train(frame)
+    texts = [t for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    assert len(texts) > 5 and min(map(len, texts)) > 24_000
+    seq = np.concatenate([[m.own[w] for w in t.split()] + [m.own["\n"]] for t in texts])
+    count = np.array([6001] * len(texts))
+    want = hmm_lm.Model(m.total, m.distinct, m.hot, m.own, m.inside)
+    seen = np.bincount(seq, minlength=m.classes) + 1.0
+    noise = np.random.default_rng(9).dirichlet(np.ones(hmm_lm.STATES), m.classes) * hmm_lm.STATES
+    hmm_lm.update(want, np.ones(hmm_lm.STATES), np.ones((hmm_lm.STATES,) * 2) + 20 * np.eye(hmm_lm.STATES), seen[:, None] * noise)
+    before = hmm_lm.forward(want, seq, count)[0].sum()
+    for _ in range(13):
+        hmm_lm.update(want, *hmm_lm.expected(want, seq, count))
+    assert np.allclose(m.move, want.move, atol=1e-6) and np.allclose(m.emit, want.emit, atol=1e-6)
+    assert hmm_lm.forward(m, seq, count)[0].sum() > before
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_pipeline(spark):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
