@@ -41,6 +41,11 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.selectExpr("k", "status", "price", "op", "if(unchanged = '', array(), split(unchanged, ',')) AS unchanged", "pos", "0L AS seq", "batch_id")
 
 
+def batch_ids(log: DataFrame) -> list[int]:
+    """The batches of a log, in order; large keys reach into later ones."""
+    return sorted(r.batch_id for r in log.select("batch_id").distinct().collect())
+
+
 def turns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TURNS_LOG, conversations=table(spark, sf_dir, "conversations")).selectExpr("*", "0L AS seq")
 

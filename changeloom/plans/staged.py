@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from changeloom.functions import types
 from changeloom.operators import raw
-from changeloom.plans.changelog import orders_log, table
+from changeloom.plans.changelog import batch_ids, orders_log, table
 from changeloom.plans.queries import FOLD, LAST, LOG, OLD, old_target, query
 from changeloom.plans.streamed import envelope
 from changeloom.streaming.sinks import JsonFiles, RawParquet, drain
@@ -43,7 +43,7 @@ def staged_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches staged as Parquet, then merged in order into a target with soft deletes; live rows."""
     base = shared_dir(spark, "staged")
     staged, log = RawParquet(spark, f"{base}/raw"), envelope(orders_log(spark, sf_dir))
-    for k in range(5):
+    for k in batch_ids(log):
         staged.write(log.where(F.col("batch_id") == k), k)
     target = Target(spark, f"{base}/target", ROWS, ["k"], deletes="soft", buckets=8)
     drain(staged, {"shop.orders": target})

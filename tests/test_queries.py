@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -42,5 +43,20 @@ def test_against_sql(spark, oracle, name):
     assert sorted(tuple(plain(r[c]) for c in names) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("name", ["staged_drain", "stream_normalize", "merge_two_batches"])
+def test_large_keys_reach_later_batches(spark, tmp_path, name):
+    """Keys of over 10,000,000 put their records into batches after the fourth."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 400")
+    path = str(tmp_path / "orders.parquet")
+    orders.withColumn("o_orderkey", (F.col("o_orderkey") + 11_000_000).cast(orders.schema["o_orderkey"].dataType)).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    rel = con.execute(entry.oracle_sql()[name])
+    cols = [d[0] for d in rel.description]
+    want = sorted(tuple(plain(v) for v in r) for r in rel.fetchall())
+    got = entry.queries()[name](spark, str(tmp_path)).select(*cols)
+    assert sorted(tuple(plain(v) for v in r) for r in got.collect()) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
