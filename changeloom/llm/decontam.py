@@ -9,7 +9,7 @@ weight of each distinct word of a window. Retrieved pairs are verified on the do
 item's word 5-grams that end in its question, and of those that end in its answer (its last sentence), must both reach `overlap`.
 
 The index is built from at most SHARD_WORDS words at a time; a larger benchmark is dealt to several shards, each of which scans
-the documents once. Null texts have no words; items of fewer than 5 words are never reported; an empty table gives no rows. Rows
+the documents once, with weights from all items of the benchmark. Null texts have no words; items of fewer than 5 words are never reported; an empty table gives no rows. Rows
 that share a doc_id are checked one by one. Other columns are not read.
 """
 
@@ -61,7 +61,8 @@ def rolled(h: np.ndarray) -> np.ndarray:
 class Index:
     """Impact-ordered blocks of postings, sorted by entry (an item, or a segment of a long one), and the 5-grams of every item."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, dict[str, int]] | None = None):
+        """whole: items, words and items a word (1 if not named) of the benchmark that these items are a part of."""
         self.names = [i for i, _ in items]
         text = [t or "" for _, t in items]
         codes, words, lens = ascii_words(pa.array(text, pa.string()))
@@ -70,7 +71,10 @@ class Index:
         tokens = [[w for w in said[codes[a:z]] if w] for a, z in zip(ends[:-1], ends[1:], strict=True)]
         counts = [Counter(t) for t in tokens]
         df = Counter(w for c in counts for w in c)
-        n, mean = len(items), max(1.0, sum(map(len, tokens)) / max(1, len(items)))
+        n, said_words = len(items), sum(map(len, tokens))
+        if whole:
+            n, said_words, df = whole[0], whole[1], {w: whole[2].get(w, 1) for w in df}
+        mean = max(1.0, said_words / max(1, n))
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) if d <= max(3, COMMON * n) else 0.0 for w, d in df.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
         self.of: list[int] = []  # the item of each entry
@@ -159,16 +163,36 @@ def answer_words(text: str) -> int:
     return sum(any(c.isalnum() for c in w) for w in sentences[-1].split()) if sentences else 0
 
 
+def word_counts(items: DataFrame) -> tuple[int, int, dict[str, int]]:
+    """Items, words, and in how many items each word stands, for words in more than one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in columns(batches, "text"):
+            codes, words, lens = ascii_words(text)
+            said = np.array(plain(words).to_pylist(), object)
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            tokens = [[w for w in said[codes[a:z]] if w] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            df = Counter(w for t in tokens for w in set(t))
+            #: The empty word stands for the items, and its n for their words.
+            yield pa.RecordBatch.from_arrays([pa.array(["", *df], pa.string()), pa.array([len(tokens), *df.values()], pa.int64()), pa.array([sum(map(len, tokens)), *[0] * len(df)], pa.int64())], names=["word", "items", "n"])
+
+    rows = items.select("text").mapInArrow(run, "word string, items long, n long").groupBy("word").agg(F.sum("items").alias("items"), F.sum("n").alias("n"))
+    got = {r.word: (r["items"], r.n) for r in rows.where("word = '' or items > 1").collect()}
+    total, words = got.pop("", (0, 0))
+    return total, words, {w: d for w, (d, _) in got.items()}
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of the documents that hold test items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
+    whole = word_counts(items) if shards > 1 else None
     found = []
     for k in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect() if shards > 1 else items.collect()
-        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows)))
+        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows), whole))
         found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(index, threshold, overlap), PAIRS))
     return reduce(DataFrame.unionByName, found)
 

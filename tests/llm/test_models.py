@@ -117,6 +117,17 @@ def test_shards_find_the_same(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in decontam.leaks(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {(k, k) for k, _ in bench}
 
 
+def test_shards_have_the_weights_of_all_items(spark, monkeypatch):
+    """Scores, and what passes, don't change with the number of shards."""
+    bench = [(k, t + (" common words stand here" if k % 9 == 0 else "")) for k, t in items(200)]
+    docs = [(k, "pad " * 9 + " ".join(w for n, w in enumerate(t.split()) if k % 2 or n % 9)) for k, t in bench]
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    run = lambda: sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in decontam.leaks(frame, table, overlap=0.2).collect())
+    one = run()
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 3000)
+    assert run() == one and len(one) > 150 and any(s < 0.99 for _, _, s in one)
+
+
 def test_forward_and_counts_by_enumeration():
     import itertools
 
