@@ -9,7 +9,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handled at a time inside a Python worker, in characters. Bounds the memory of a batch, not the work.
 SUB_BATCH_CHARS = 4 << 20
@@ -56,6 +57,47 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """16 bytes that name a row by its id and text, in the order of the ids (null without one). Rows with equal keys hold equal ids and texts."""
+    digest = F.substring(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), 1, 16)
+    return F.unhex(F.concat(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), digest))
+
+
+def id_of(key: str) -> Column:
+    """The id in a row_key."""
+    return F.conv(F.hex(F.substring(F.col(key), 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups, and the number of each row's group, from batches sorted by the keys (numbers without nulls)."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(rows: pa.Table) -> np.ndarray:
+        values = [rows[k].to_numpy() for k in keys]
+        return np.cumsum(np.append(False, np.logical_or.reduce([v[1:] != v[:-1] for v in values]))) if len(rows) else np.zeros(0, np.int64)
+
+    for b in batches:
+        if not len(b):
+            continue
+        rows = pa.Table.from_batches([*held, b])
+        group = numbered(rows)
+        at = int(np.searchsorted(group, group[-1]))
+        if at:
+            yield rows.slice(0, at).combine_chunks(), group[:at]
+        held = rows.slice(at).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, numbered(rows)
+
+
 def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list]:
     """Slices of the named columns, as Arrow arrays, each of about SUB_BATCH_CHARS characters of the last one."""
     for b in batches:

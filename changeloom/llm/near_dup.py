@@ -4,24 +4,28 @@ Two collections of `m` small hashes (each of `q` minhashes) stand for a document
 with one of the second. So m * m tables need 2 * m * q minhashes instead of 2 * m * m * q. At a similarity of 0.8, q = 3 and m = 10
 miss a pair with probability 0.0015; at 0.9 with 0.000005.
 
-Documents with equal sets form a class; classes are compared through their least doc_id. Candidates are checked on full sets in
-three rounds, so that a large group of near copies costs a few comparisons a member instead of all pairs:
-  1. each class with the least partner that shares a key with it;
+Documents with equal sets form a class. Candidates are checked on full sets in three rounds, so that a large group of near
+copies costs a few comparisons a member instead of all pairs:
+  1. each class with one partner, the least class (by hash) that shares a key with it;
   2. each class with the least member of every key, where the two are not yet in one component;
-  3. all pairs of classes that share a key and are not in one component after that; they meet by their first common hash of the
-     first collection, so each pair is made once.
-A sketch of 256 bins (the least hash of each bin of the set, four bits each) leaves out pairs whose common bins lie more than four
-standard deviations below those of a pair at the threshold (0.003 % of true pairs at the threshold, fewer above it). All
-other candidates are checked, whatever the size of their group.
-
-Texts without words have an empty set and link with nothing; texts with fewer than n words have one shingle. Rows that share a
-doc_id are one node; rows without a doc_id link with nothing and are kept. Other columns are not read.
+  3. every other pair of classes that share a key and are not in one component after that.
+Rounds 1 and 2 leave out pairs that a sketch of 256 bins finds implausible; that only orders the work, as round 3 meets them again.
+Round 3 groups classes by their hashes of the first collection (a pair by its first common one). Members of a group's
+largest component are compared with all others, never with each other; a group of more than ROWS classes or ELEMENTS shingles is
+cut into blocks, and each pair of blocks is one bounded task step. A first step keeps the classes that have a partner in their block which
+shares a table key and whose sketch comes within six standard deviations of the threshold (a loss of one true pair at the threshold in 10^9); a
+second intersects the full sets of those. What leaves a block is at most one edge a component, never a pair. So work stays
+in proportion to a group's size where its members are linked, and comparisons (not rows) grow with the square of the number of components
+where they aren't.
+
+A node is a row's doc_id and text, so rows that share a doc_id but not the text are told apart; a class has the least doc_id among
+its rows. Texts without words have an empty set and link with nothing; texts with fewer than n words have one shingle. Rows without a doc_id
+link with nothing and are kept. Very long texts are one set each, of eight bytes a shingle. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import ascii_words, columns, discard, materialize, mix, word_hashes
+from changeloom.llm.common import ascii_words, columns, discard, free_name, id_of, materialize, mix, row_key, whole_groups, word_hashes
 from changeloom.llm.components import components
 
 Q, M, BINS = 3, 10, 256
+#: The most classes, and shingles, of a block in round three.
+ROWS, ELEMENTS = 1024, 1 << 21
+#: Vocabulary columns of a block handled at a time.
+WIDE = 4096
+_ONES = np.uint64(0x1111111111111111)  # the lowest bit of every four
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, 2 * M * Q, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 2 * M * Q, dtype=np.uint64)
@@ -97,14 +106,24 @@ def plausible(a: str, b: str, percent: int) -> str:
     return f"{same} >= {t} * {n} - {4 * (t * (1 - t)) ** 0.5} * sqrt({n})"
 
 
-def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (d1, d2) of the set, both collections of small hashes and the sketch (none for empty sets)."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def plausible_rows(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """plausible() for rows of sketches, within six standard deviations."""
+    low = lambda z: (z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & _ONES
+    used = low(a | b)
+    n = np.bitwise_count(used).sum(axis=1).astype(float)
+    same = np.bitwise_count(used & ~low(a ^ b)).sum(axis=1)
+    t = percent / 100
+    return same >= t * n - 6 * np.sqrt(t * (1 - t) * n)
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """Of rows (node, text): node, n, digest (d1, d2) of the set, both collections of small hashes and the sketch (none for empty sets)."""
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
-        for ids, text in columns(batches, id_col, text_col):
+        for ids, text in columns(batches, "node", "text"):
             sets = shingle_sets(text, n)
             size = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
@@ -113,34 +132,46 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
             bins = pa.ListArray.from_arrays(pa.array((ends // (2 * M) * BINS // 16).astype(np.int32)), pa.array(sketches(full).view(np.int64).reshape(-1)))
             digest = [xxh3_128_intdigest(s.tobytes()) for s in sets]
             d1, d2 = (np.array([(d >> k) & (2**64 - 1) for d in digest], np.uint64).view(np.int64) for k in (0, 64))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(half.reshape(-1))), bins], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(half.reshape(-1))), bins], names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select("node", "text").mapInArrow(run, schema)
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """A row (key, rep, n) for each of a class's M * M table keys."""
+    """A row (key, d1, n) for each of a class's M * M table keys. Here 64 bits name a class: more candidates if two share them, none less."""
     each = F.transform(F.sequence(F.lit(0), F.lit(M * M - 1)), lambda k: F.xxhash64(k, F.col("half")[(k / M).cast("int")], F.col("half")[k % M + M]))
-    return classes.select(F.explode(each).alias("key"), "rep", "n")
+    return classes.select(F.explode(each).alias("key"), "d1", "n")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, set) for the wanted nodes, written once: the sorted 64-bit hashes as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, text in columns(batches, "node", "text"):
+            yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in shingle_sets(text, n)], pa.binary())], names=["node", "set"])
 
+    some = docs.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    out = materialize(some.mapInArrow(run, "node binary, set binary"), "sets")
+    free_disk(docs)
+    return out
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, x, y) the distinct (x, y) whose sets at a and b have 100 * intersection >= percent * union."""
+    left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")) for side in ("a", "b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, text_b, text_a in columns(batches, "a", "b", "text_b", "text_a"):
-            kinds = text_b.dictionary_encode()
-            second = shingle_sets(kinds.dictionary, n)
+        for b in batches:
             keep = []
-            for s, k in zip(shingle_sets(text_a, n), kinds.indices.to_pylist(), strict=True):
-                t = second[k]
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                s, t = (np.frombuffer(x.as_buffer(), np.uint64) for x in (s, t))
+                both = len(s) + len(t) - len(np.union1d(s, t))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.join(left, "a").join(right, "b").select("x", "y", "set_a", "set_b")
+    return joined.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def free_disk(df: DataFrame) -> None:
@@ -148,78 +179,177 @@ def free_disk(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def labelled(df: DataFrame, found: DataFrame, node: str, label: str) -> DataFrame:
+    """df with the component of a node, the node itself where it has none."""
+    at = found.select(F.col("node").alias("_at"), F.col("component").alias("_in"))
+    return df.join(at, F.col(node) == F.col("_at"), "left").withColumn(label, F.coalesce("_in", node)).drop("_at", "_in")
+
+
+GROUP = ["i", "h", "lo", "hi"]
+
+
+def blocks(met: DataFrame) -> DataFrame:
+    """Rows (i, h, c, rep, n, ...) of groups with more than one component, dealt to pairs of blocks: with block, lo and hi added.
+
+    A group of up to ROWS rows is one block. In a larger one the rows of its largest component have blocks of their own, which meet all
+    blocks of the other rows but not each other."""
+    parts = met.groupBy("i", "h", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    layout = parts.groupBy("i", "h").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.max(F.struct("k", "s", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    many = lambda k, s: F.ceil(F.greatest(k / ROWS, s / ELEMENTS)).cast("int")
+    one = (F.col("k") <= ROWS) & (F.col("s") <= ELEMENTS)
+    layout = layout.select("i", "h", F.col("most.c").alias("large"), F.when(one, 1).otherwise(many(F.col("k") - F.col("most.k"), F.col("s") - F.col("most.s"))).alias("others"), F.when(one, 0).otherwise(many(F.col("most.k"), F.col("most.s"))).alias("own"))
+    layout = materialize(layout, "layout")
+    inside = (F.col("c") == F.col("large")) & (F.col("own") > 0)
+    deal = lambda most: F.pmod(F.xxhash64("rep"), most).cast("int")
+    dealt = met.join(layout, ["i", "h"]).withColumn("block", F.when(inside, F.col("others") + deal(F.greatest("own", F.lit(1)))).otherwise(deal(F.col("others"))))
+    dealt = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)))
+    out = dealt.withColumn("lo", F.least("block", "meets")).withColumn("hi", F.greatest("block", "meets")).drop("meets", "large", "others", "own")
+    out._layout = layout
+    return out
+
+
+def grouped(df: DataFrame) -> DataFrame:
+    return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+
+
+def asking(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of dealt() that have a candidate in their group: another component, a common table key, alike in size and sketch."""
+    names = [*GROUP, "block", "rep", "c", "n"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, GROUP):
+            i, block, n, apart = (rows[c].to_numpy() for c in ("i", "block", "n", "lo"))
+            apart = apart != rows["hi"].to_numpy()
+            c = rows["c"].combine_chunks().dictionary_encode().indices.to_numpy()
+            half = rows["half"].combine_chunks().flatten().to_numpy().reshape(len(n), 2 * M)
+            sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), BINS // 16)
+            hit, x, k = np.zeros(len(n), bool), np.arange(len(n)), 0
+            while len(x):  # every row with the k-th row after it, as long as that is in the same group
+                k += 1
+                x = x[x + k < len(n)]
+                x = x[group[x] == group[x + k]]
+                a = x[(c[x] != c[x + k]) & (100 * np.minimum(n[x], n[x + k]) >= percent * np.maximum(n[x], n[x + k])) & ~(apart[x] & (block[x] == block[x + k]))]
+                a = a[(half[a, M:] == half[a + k, M:]).any(axis=1)]
+                a = a[(half[a, :M] == half[a + k, :M]).argmax(axis=1) == i[a]]
+                a = a[plausible_rows(sketch[a], sketch[a + k], percent)]
+                hit[a] = hit[a + k] = True
+            yield from rows.select(names).filter(pa.array(hit)).to_batches()
+
+    return grouped(dealt).mapInArrow(run, "i int, h long, lo int, hi int, block int, rep binary, c binary, n long")
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at left with those at right, through values that stand in several sets."""
+    size = np.array([len(s) for s in sets])
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), count > 1
+    keep = shared[value]
+    row, value = row[keep], (np.cumsum(shared) - 1)[value[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    for at in range(0, int(shared.sum()), WIDE):
+        a, z = np.searchsorted(value, [at, at + WIDE])
+        one = np.zeros((len(sets), WIDE), np.float32)
+        one[row[a:z], value[a:z] - at] = 1
+        out += one[left] @ one[right].T
+    return out
+
+
+def linked(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between the components of asking()'s rows, at most one a component and group, by their full sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, GROUP):
+            block, n, lo, hi = (rows[c].to_numpy() for c in ("block", "n", "lo", "hi"))
+            code = rows["c"].combine_chunks().dictionary_encode()
+            c, out = code.indices.to_numpy(), []
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"].combine_chunks()]
+            ends = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(group)]
+            for a, z in zip(ends[:-1], ends[1:], strict=True):
+                at = np.arange(z - a)
+                left, right = (at, at) if lo[a] == hi[a] else (np.flatnonzero(block[a:z] == lo[a]), np.flatnonzero(block[a:z] == hi[a]))
+                if not len(left) or not len(right):
+                    continue
+                both = intersections(sets[a:z], left, right).astype(np.int64)
+                own = n[a:z]
+                x, y = np.nonzero((100 * both >= percent * (own[left][:, None] + own[right][None, :] - both)) & (both > 0))
+                x, y = c[a:z][left[x]], c[a:z][right[y]]
+                pair = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
+                up = dict(zip(pair.reshape(-1).tolist(), pair.reshape(-1).tolist(), strict=True))
+                for x, y in pair.tolist():
+                    while up[x] != x:
+                        x = up[x]
+                    while up[y] != y:
+                        y = up[y]
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out.append((x, y))
+            if out:
+                yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(side)) for side in zip(*out, strict=True)], names=["a", "b"])
+
+    joined = asked.join(sets.withColumnRenamed("node", "rep"), "rep")
+    return grouped(joined).mapInArrow(run, "a binary, b binary")
+
+
+def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each of docs: node (null without a doc_id), n (size of its set), root (the least node that can be reached)."""
+    docs = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, n), "signatures")
-    classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("half").alias("half"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(signed.where("n > 0 and node is not null").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("half").alias("half"), F.first("sketch").alias("sketch")), "classes")
 
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair of other sizes is similar
     rows = keys(classes)
-    hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    pairs = rows.join(hubs, "key").where((F.col("rep") > F.col("hub.rep")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(plausible("sketch_a", "sketch_b", percent)).select("a", "b")
+    hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    pairs = rows.join(hubs, "key").where((F.col("d1") > F.col("hub.d1")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("d1").alias("k_a"), F.col("hub.d1").alias("k_b")).distinct()
+    side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = pairs.join(side("a"), "k_a").join(side("b"), "k_b").where(plausible("sketch_a", "sketch_b", percent)).select("a", "b", "k_b")
     pairs = materialize(pairs, "pairs")
     free_disk(docs)
+    sets = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n)
 
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    texts = near_texts(docs, classes, pairs)
-    links = materialize(verified(first, texts, n, percent), "links")
-    free_disk(docs)
+    first = pairs.groupBy("a").agg(F.min_by("b", "k_b").alias("b"))
+    links = materialize(verified(first.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links")
     found = components(links)
-
-    label = lambda side: F.coalesce(f"c_{side}", side)
-
-    def apart(p: DataFrame, found: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return p.where(label("a") != label("b")).select("a", "b")
-
-    more = verified(apart(pairs.join(first, ["a", "b"], "left_anti"), found), texts, n, percent)
-    links2 = materialize(links.unionByName(more), "links")
+    apart = labelled(labelled(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y")
+    links2 = materialize(verified(apart, sets, percent), "links")
     found2 = components(links2)
-    discard(found)
-
-    marked = classes.join(found2.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    met = marked.select(F.posexplode(F.slice("half", 1, M)).alias("i", "h"), "rep", "n", "c", "half", "sketch")
-    mixed = met.groupBy("i", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("i", "h")
-    met = materialize(met.join(mixed, ["i", "h"]), "met")
     free_disk(docs)
-    # A class asks the components it meets; one of a single class can be ruled out at once, others by the sizes of their sets.
-    groups = met.groupBy("i", "h", F.col("c").alias("c2")).agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.first("sketch").alias("sketch2"))
-    in_reach = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    ask = met.join(groups, ["i", "h"]).where((F.col("c") < F.col("c2")) & in_reach & ((F.col("members") > 1) | F.expr(plausible("sketch", "sketch2", percent))))
-    ask = ask.drop("members", "least", "most", "sketch2")
-    other = met.select("i", "h", F.col("c").alias("c2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("half").alias("half2"), F.col("sketch").alias("sketch2"))
-    equal = lambda k: F.col("half")[k] == F.col("half2")[k]
-    first_met = reduce(lambda x, y: x & y, [(F.col("i") <= k) | ~equal(k) for k in range(M)])
-    shares_key = reduce(lambda x, y: x | y, [equal(M + k) for k in range(M)])
-    cross = ask.join(other, ["i", "h", "c2"]).where(alike(F.col("n"), F.col("n2")) & first_met & shares_key & F.expr(plausible("sketch", "sketch2", percent)))
-    cross = cross.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti").distinct(), "cross")
-    texts3 = near_texts(docs, classes, cross)
-    links3 = materialize(links2.unionByName(verified(cross, texts3, n, percent)), "links")
+
+    marked = labelled(labelled(classes, found, "rep", "c1"), found2, "c1", "c").drop("c1")
+    dealt = blocks(marked.select(F.posexplode(F.slice("half", 1, M)).alias("i", "h"), "rep", "n", "c", "half", "sketch"))
+    asked = materialize(asking(dealt, percent), "asked")
     free_disk(docs)
+    sets3 = full_sets(docs, asked.select(F.col("rep").alias("node")), n)
+    links3 = materialize(linked(asked, sets3, percent), "links")
     found3 = components(links3)
-    discard(found2, links, links2, links3, cross, pairs, met, texts, texts3)
-
-    member = classes.select("d1", "d2", "rep").join(found3.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
-    c = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
 
-
-def near_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the documents that stand in pairs, written once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    out = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    member = labelled(marked.select("d1", "d2", "c"), found3, "c", "root").select("d1", "d2", "root")
+    out = signed.select("node", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
+    root = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.col("root")).otherwise(F.col("node"))
+    out = materialize(out.select("node", "n", root.alias("root")), "near")
+    discard(signed, classes, pairs, sets, links, found, links2, found2, dealt._layout, asked, sets3, links3, found3)
     free_disk(docs)
     return out
 
 
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    doc_id, c = id_of("node"), id_of("root")
+    return near_rows(docs, n, percent, id_col, text_col).select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == doc_id, F.lit(True)).alias("kept"))
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, one of each group; columns as given. Of rows that share a doc_id one stays."""
-    kept = near_duplicates(docs, n, percent).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return some.unionByName(docs.where("doc_id is null"))
+    """The documents, one of each group; columns as given. Of rows that repeat doc_id and text the one with the least other columns (as JSON)
+    stays; rows without a doc_id and rows without words all stay."""
+    rows = near_rows(docs, n, percent, "doc_id", "text")
+    kept = rows.where("node = root").groupBy("node").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    kept = kept.withColumn("again", F.expr("copies > 1 and n > 0"))
+    single, several = materialize(kept.where("not again").select("node"), "kept"), materialize(kept.where("again").select("node"), "kept")
+    key = free_name(docs, "node")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    of = lambda nodes: keyed.join(nodes.withColumnRenamed("node", key), key, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = of(several).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit(0)).alias("row"))
+    discard(rows)
+    return of(single).select(*docs.columns).unionByName(least.select("row.*")).unionByName(docs.where("doc_id is null"))

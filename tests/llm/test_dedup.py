@@ -75,6 +75,67 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.keep_one(docs.where("false")).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    """Another text under the same doc_id is another node; of rows that repeat doc_id and text one stays, the least by its other columns."""
+    rows = [(5, "a b c d e f g", "y", 1), (5, "a b c d e f g", "x", 2), (5, "h i j k l m n", "z", 3), (3, "A B c d e f g", None, 4), (7, "h i j k l m n", "", 5), (8, "", "a", 6), (8, "", "a", 6), (9, None, "a", 7), (4, "o p q r s t", "w", 8), (4, "o p q r s t", "v", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, _at int").repartition(4)
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._at) for r in kept.collect()) == [(3, 4), (4, 9), (5, 3), (8, 6), (8, 6), (9, 7)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (4, 4, True), (4, 4, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True), (9, 9, True)]
+
+
+def loose_group(size, edits, seed=5):
+    """Near copies of one text that isn't there, each with so many changed words."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    out = []
+    for k in range(size):
+        copy = list(base)
+        for at in r.sample(range(120), edits[k % len(edits)]):
+            copy[at] = f"x{r.randrange(10**6)}"
+        out.append((k, " ".join(copy)))
+    return out
+
+
+def brute_components(docs, n):
+    sets_of, up = [(d, sets(t, n)) for d, t in docs], {}
+    for k, (a, s) in enumerate(sets_of):
+        for b, t in sets_of[:k]:
+            if 100 * len(s & t) >= 80 * len(s | t):
+                x, y = find(up, a), find(up, b)
+                up[max(x, y)] = min(x, y)
+    return {d: find(up, d) for d, _ in docs}
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """Groups of components below and around the threshold, in one block and in many: as brute force."""
+    docs = loose_group(150, (2, 3, 4, 5, 6)) + [(1000 + d, t) for d, t in loose_group(60, (1, 5), 6)]
+    want = brute_components(docs, 4)
+    assert 20 < len(set(want.values())) < 200
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rows, elements in ((1024, 1 << 21), (16, 1 << 21), (1024, 2000)):
+        monkeypatch.setattr(near_dup, "ROWS", rows)
+        monkeypatch.setattr(near_dup, "ELEMENTS", elements)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, 4).collect()} == want
+
+
+def test_rows_stay_in_proportion_below_the_threshold(spark, monkeypatch):
+    """In a group of near copies that don't link, no step of the three rounds makes more than M rows a member (all pairs: 19,900)."""
+    made = {}
+
+    def counted(df, name, put=near_dup.materialize):
+        out = put(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    docs = spark.createDataFrame(loose_group(200, (6,)), "doc_id long, text string")
+    assert len({r.component_id for r in near_dup.near_duplicates(docs, 4).collect()}) > 160
+    assert made["sets"] > 100 and all(k <= near_dup.M * 200 for k in made.values()), made
+
+
 def test_candidates_hold_similar_pairs():
     r = random.Random(4)
     kept = total = 0
