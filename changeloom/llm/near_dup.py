@@ -144,13 +144,13 @@ def keys(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, set) for the wanted nodes, written once: the sorted 64-bit hashes as bytes."""
+    """(node, set) for the wanted nodes, written once: the sorted 64-bit hashes as bytes. The wanted grow with the input, so they aren't broadcast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, text in columns(batches, "node", "text"):
             yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in shingle_sets(text, n)], pa.binary())], names=["node", "set"])
 
-    some = docs.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    some = docs.join(wanted.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     out = materialize(some.mapInArrow(run, "node binary, set binary"), "sets")
     free_disk(docs)
     return out
@@ -301,12 +301,14 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair of other sizes is similar
     rows = keys(classes)
     hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    pairs = rows.join(hubs, "key").where((F.col("d1") > F.col("hub.d1")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("d1").alias("k_a"), F.col("hub.d1").alias("k_b")).distinct()
-    side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = pairs.join(side("a"), "k_a").join(side("b"), "k_b").where(plausible("sketch_a", "sketch_b", percent)).select("a", "b", "k_b")
-    pairs = materialize(pairs, "pairs")
+    shared = rows.join(hubs, "key").select("d1", F.col("hub.d1").alias("k_b"), alike(F.col("n"), F.col("hub.n")).alias("near")).distinct()
+    shared = materialize(shared, "shared")
     free_disk(docs)
-    sets = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n)
+    meeting = classes.join(shared.select("d1").distinct(), "d1", "left_semi")  # the classes that share a key with any other
+    sets = full_sets(docs, meeting.select(F.col("rep").alias("node")), n)
+    side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = shared.where("near and d1 > k_b").select(F.col("d1").alias("k_a"), "k_b").join(side("a"), "k_a").join(side("b"), "k_b")
+    pairs = materialize(pairs.where(plausible("sketch_a", "sketch_b", percent)).select("a", "b", "k_b"), "pairs")
 
     first = pairs.groupBy("a").agg(F.min_by("b", "k_b").alias("b"))
     links = materialize(verified(first.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links")
@@ -316,19 +318,18 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     found2 = components(links2)
     free_disk(docs)
 
-    marked = labelled(labelled(classes, found, "rep", "c1"), found2, "c1", "c").drop("c1")
+    marked = labelled(labelled(meeting, found, "rep", "c1"), found2, "c1", "c").drop("c1")
     dealt = blocks(marked.select(F.posexplode(F.slice("half", 1, M)).alias("i", "h"), "rep", "n", "c", "half", "sketch"))
     asked = materialize(asking(dealt, percent), "asked")
     free_disk(docs)
-    sets3 = full_sets(docs, asked.select(F.col("rep").alias("node")), n)
-    links3 = materialize(linked(asked, sets3, percent), "links")
+    links3 = materialize(linked(asked, sets, percent), "links")
     found3 = components(links3)
 
-    member = labelled(marked.select("d1", "d2", "c"), found3, "c", "root").select("d1", "d2", "root")
+    member = labelled(labelled(labelled(classes.select("d1", "d2", "rep"), found, "rep", "c1"), found2, "c1", "c"), found3, "c", "root").select("d1", "d2", "root")
     out = signed.select("node", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
     root = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.col("root")).otherwise(F.col("node"))
     out = materialize(out.select("node", "n", root.alias("root")), "near")
-    discard(signed, classes, pairs, sets, links, found, links2, found2, dealt._layout, asked, sets3, links3, found3)
+    discard(signed, classes, shared, pairs, sets, links, found, links2, found2, dealt._layout, asked, links3, found3)
     free_disk(docs)
     return out
 
