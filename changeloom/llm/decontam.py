@@ -10,7 +10,8 @@ item's word 5-grams that end in its question, and of those that end in its answe
 
 The index is built from at most SHARD_WORDS words at a time; a larger benchmark is dealt to several shards, each of which scans
 the documents once, with weights from all items of the benchmark. Null texts have no words; items of fewer than 5 words are never reported; an empty table gives no rows. Rows
-that share a doc_id are checked one by one. Other columns are not read.
+that share a doc_id are checked one by one, and so are rows without one: a row goes from the corpus for what its own text holds. Very long texts are
+searched a window at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ascii_words, columns, materialize, mix, word_hashes
+from changeloom.llm.common import ascii_words, columns, mix, word_hashes
 
 WINDOW, STEP, GRAM, BLOCK = 64, 32, 5, 16
 #: Any run of so many words lies inside one passage.
@@ -182,19 +183,24 @@ def word_counts(items: DataFrame) -> tuple[int, int, dict[str, int]]:
     return total, words, {w: d for w, (d, _) in got.items()}
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of the documents that hold test items."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame) -> list:
+    """The benchmark's index as broadcast variables, one a shard."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     whole = word_counts(items) if shards > 1 else None
-    found = []
+    out = []
     for k in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect() if shards > 1 else items.collect()
-        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows), whole))
-        found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(index, threshold, overlap), PAIRS))
-    return reduce(DataFrame.unionByName, found)
+        out.append(spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows), whole)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of the documents that hold test items."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [plain.mapInArrow(_search(index, threshold, overlap), PAIRS) for index in indexes(benchmark)])
 
 
 def _search(shared, threshold: float, overlap: float):
@@ -209,6 +215,19 @@ def _search(shared, threshold: float, overlap: float):
     return run
 
 
+def _without(shared, threshold: float, overlap: float, place: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean, at = np.ones(len(b), bool), 0
+            for (text,) in columns([pa.RecordBatch.from_arrays([b.column(place)], names=["text"])], "text"):
+                for row, *_ in search(shared.value, text, threshold, overlap):
+                    clean[at + row] = False
+                at += len(text)
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
 def search(index: Index, text: pa.Array, threshold: float, overlap: float) -> list[tuple]:
     """(row, item, score, question overlap, answer overlap) of the verified pairs."""
     codes, words, lens = ascii_words(text)
@@ -250,7 +269,8 @@ def search(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item; columns as given. Rows without a doc_id can't be named and stay."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
+    """The rows whose own text holds no test item; columns as given. Each shard of the index passes on what it leaves, without a shuffle."""
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(_without(index, threshold, overlap, docs.columns.index("text")), docs.schema)
+    return docs

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from changeloom.llm import decontam, hmm_lm, quality
@@ -94,8 +95,10 @@ def test_leaks(spark):
     table = spark.createDataFrame([*bench, (77, None), (None, "x"), (78, "two words")], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontam.leaks(frame, table).collect()}
     assert got == {(k, k) for k in range(20)} | {(None, 3)}
-    kept = {x.doc_id for x in decontam.without_leaks(frame, table).collect()}
-    assert kept == {d for d, _ in docs} - set(range(20))
+    # A row goes for its own text: with and without a doc_id, and not for another row that shares its doc_id.
+    more = frame.unionByName(spark.createDataFrame([(3, "clean words under a doc_id that is used twice", 0), (None, "clean", 0)], frame.schema)).withColumn("_bad", F.lit(1))
+    kept = sorted((x.doc_id or -1, x.text or "") for x in decontam.without_leaks(more, table).collect())
+    assert kept == sorted([(d, t or "") for d, t in docs[20:-2]] + [(300, docs[-1][1]), (3, "clean words under a doc_id that is used twice"), (-1, "clean")])
     assert decontam.leaks(frame, table.where("false")).count() == 0 and decontam.leaks(frame.where("false"), table).count() == 0
 
 
