@@ -16,8 +16,9 @@ overlaps the first one in the same document is no repeat of it.
 Within a batch only the first occurrence of a digest enters the shuffle, and later ones are known as repeats at once; so a
 passage that stands in a third of all documents gives at most one row a batch.
 
-Null and empty texts stay as they are. Rows that share a doc_id are ranked by their order in a batch and treated alike. Rows without
-a doc_id are left alone. Other columns pass through.
+Null and empty texts stay as they are. Rows that share a doc_id are told apart by a number (twins()), by which they are ranked after the
+doc_id, so a row that is repeated keeps one copy of its passages. Rows without a doc_id are left alone. Very long texts are handled in a
+batch of their own. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import coded, columns, discard, materialize, mix, word_hashes
+from changeloom.llm.common import coded, columns, discard, free_name, materialize, mix, word_hashes
 
 MIN_WORDS = 30
 LONG, ANCHOR, EDGE = 51, 26, 5
@@ -126,13 +127,40 @@ class Units:
         return at, least[at].view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sketch, doc_id, key, more): the first of each sketch in a batch has it as key, with more set if the batch has others; those have a key of their own."""
+def twins(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, text): row is 0, or for rows that share a doc_id their place in the table, so (doc_id, row) names a row.
+
+    Places hold for a table that is read in one order each time; another plan is written first."""
+    found = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).count().where("count > 1 and doc_id is not null")
+    twice = materialize(found.select("doc_id"), "twice")
+    named = docs.select("*", F.col(id_col).cast("long").alias(key := free_name(docs, "doc_id_")), F.monotonically_increasing_id().alias(row := free_name(docs, "row_")))
+    if twice.isEmpty():
+        named = named.withColumn(row, F.lit(0).cast("long"))
+    else:
+        named = named.join(twice.select(F.col("doc_id").alias(at := free_name(docs, "twice_"))), F.col(key) == F.col(at), "left")
+        named = named.withColumn(row, F.when(F.col(at).isNotNull(), F.col(row)).otherwise(0)).drop(at)
+    named._names = key, row
+    return named
+
+
+def read_alike(docs: DataFrame) -> bool:
+    """Whether the plan only reads files and computes columns, so that each reading gives the rows in one order."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter") and not node.nodeName().startswith("LogicalRelation") and not node.nodeName().startswith("Relation"):
+            return False
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return True
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(sketch, doc_id, row, key, more): the first of each sketch in a batch has it as key, with more set if the batch has others; those have a key of their own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, text in columns(batches, id_col, text_col):
-            keep = ids.is_valid()
-            ids, text = ids.filter(keep), text.filter(keep)
+        for ids, rows, text in columns(batches, "doc_id", "row", "text"):
             u = Units(text, MIN_WORDS)
             at, sketch = u.long_runs()
             if not len(at):
@@ -148,64 +176,65 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             head = np.flatnonzero(~again)
             more = np.zeros(len(sketch), bool)
             more[head] = np.logical_or.reduceat(again | long, head)
-            doc_id = ids.to_numpy(zero_copy_only=False).astype(np.int64)[of]
-            own = mix(mix(sketch.view(np.uint64)) + doc_id.astype(np.uint64)).view(np.int64)
+            doc_id, row = (x.to_numpy(zero_copy_only=False)[of] for x in (ids, rows))
+            own = mix(mix(mix(sketch.view(np.uint64)) + doc_id.astype(np.uint64)) + row.astype(np.uint64)).view(np.int64)
             once = ~again | np.append(True, (sketch[1:] != sketch[:-1]) | (of[1:] != of[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (sketch, doc_id, np.where(again, own, sketch), more | again)], names=["sketch", "doc_id", "key", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (sketch, doc_id, row, np.where(again, own, sketch), more | again)], names=["sketch", "doc_id", "row", "key", "more"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "sketch long, doc_id long, key long, more boolean")
+    return docs.mapInArrow(run, "sketch long, doc_id long, row long, key long, more boolean")
 
 
-def long_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, runs): runs of LONG words that repeat an occurrence of lower rank, joined where they overlap, as [begin, end) offsets in characters."""
+def long_repeats(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, row, text): (doc_id, row, runs): runs of LONG words that repeat an occurrence of lower rank, joined where they overlap, as [begin, end) offsets in characters."""
     by = W.partitionBy("key")
-    rows = sketches(docs, id_col, text_col)
+    rows = sketches(docs)
     rows = rows.withColumn("n", F.count("*").over(by)).withColumn("any", F.max("more").over(by)).where("n > 1 or any")
-    wanted = materialize(rows.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("sketch").alias("_sketches")), "sketches")
+    wanted = materialize(rows.groupBy("doc_id", "row").agg(F.collect_set("sketch").alias("sketches")), "sketches")
     docs.sparkSession._jvm.System.gc()
-    some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, F.col(id_col) == F.col("_of")).select(id_col, "_sketches", text_col)
+    some = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "sketches", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, wanted, text in columns(batches, id_col, "_sketches", text_col):
+        for ids, rows, wanted, text in columns(batches, "doc_id", "row", "sketches", "text"):
             u = Units(text, MIN_WORDS)
             at, sketch = u.long_runs()
             at = at[np.isin(sketch, wanted.flatten().to_numpy(zero_copy_only=False))]
             if not len(at):
                 continue
             digest = u.runs(LONG)[at].view(np.int64)
-            doc_id = ids.to_numpy(zero_copy_only=False).astype(np.int64)[u.word_doc[at]]
+            ids, rows = (x.to_numpy(zero_copy_only=False) for x in (ids, rows))
+            doc_id, row_of = ids[u.word_doc[at]], rows[u.word_doc[at]]
             begin, end = u.word_begin[at], u.word_end[at + LONG - 1]
-            order = np.lexsort((begin, u.word_doc[at], doc_id, digest))
-            d, doc_id, begin, end = digest[order], doc_id[order], begin[order], end[order]
+            order = np.lexsort((begin, row_of, doc_id, digest))
+            d, doc_id, row_of, begin, end = digest[order], doc_id[order], row_of[order], begin[order], end[order]
             same = np.append(False, d[1:] == d[:-1])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
-            again = same & ((doc_id != doc_id[head]) | (begin >= end[head]))
+            again = same & ((doc_id != doc_id[head]) | (row_of != row_of[head]) | (begin >= end[head]))
             # Runs that repeat one of the batch are known at once and joined; the others keep the order of the texts, which packs better.
-            row, at, to = joined_runs(u.word_doc[at][order][again], begin[again], end[again])
-            late = ids.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            own = mix(mix(late.view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
+            text_of, at, to = joined_runs(u.word_doc[at][order][again], begin[again], end[again])
+            late = ids[text_of]
+            own = mix(mix(late.astype(np.uint64)) + mix(rows[text_of].astype(np.uint64)) + at.astype(np.uint64)).view(np.int64)
             rest = np.flatnonzero(~again)
             rest = rest[np.argsort(order[rest])]
-            parts = ((d[rest], own), (doc_id[rest], late), (begin[rest] << 32 | end[rest], at << 32 | to), (again[rest], np.ones(len(late), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["digest", "doc_id", "span", "again"])
+            parts = ((d[rest], own), (doc_id[rest], late), (row_of[rest], rows[text_of]), (begin[rest] << 32 | end[rest], at << 32 | to), (again[rest], np.ones(len(late), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["digest", "doc_id", "row", "span", "again"])
 
-    by = W.partitionBy("digest").orderBy("again", "doc_id", "span")
-    rows = some.mapInArrow(run, "digest long, doc_id long, span long, again boolean")
-    rows = rows.withColumn("place", F.row_number().over(by)).withColumn("first", F.first(F.struct("doc_id", "span")).over(by))
-    rows = rows.where(f"again or place > 1 and (doc_id <> first.doc_id or shiftright(span, 32) >= first.span & {LOW})")
+    by = W.partitionBy("digest").orderBy("again", "doc_id", "row", "span")
+    rows = some.mapInArrow(run, "digest long, doc_id long, row long, span long, again boolean")
+    rows = rows.withColumn("place", F.row_number().over(by)).withColumn("first", F.first(F.struct("doc_id", "row", "span")).over(by))
+    rows = rows.where(f"again or place > 1 and (doc_id <> first.doc_id or row <> first.row or shiftright(span, 32) >= first.span & {LOW})")
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(1)
+            spans = b.column(2)
             size = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
             span = spans.flatten().to_numpy(zero_copy_only=False)
             row, begin, end = joined_runs(np.repeat(np.arange(len(size)), size), span >> 32, span & LOW)
             runs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["begin", "end"])
             ends = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), runs)], names=["doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), runs)], names=["doc_id", "row", "runs"])
 
-    grouped = rows.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    out = materialize(grouped.mapInArrow(joined, "doc_id long, runs array<struct<begin:int,end:int>>"), "runs")
+    grouped = rows.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans"))
+    out = materialize(grouped.mapInArrow(joined, "doc_id long, row long, runs array<struct<begin:int,end:int>>"), "runs")
     discard(wanted)
     docs.sparkSession._jvm.System.gc()
     return out
@@ -237,34 +266,32 @@ def with_sides(text: str, spans: list[tuple[int, int]], runs: list[tuple[int, in
     return merged(spans + more) if more else spans
 
 
-def paragraphs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(digest, doc_id, begin, end, again): the first of each digest in a batch; later ones with again set and a digest of their own."""
-    schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())])
+def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(digest, doc_id, row, begin, end, again): the first of each digest in a batch; later ones with again set and a digest of their own."""
+    schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, text in columns(batches, id_col, text_col):
-            keep = ids.is_valid()
-            ids, text = ids.filter(keep), text.filter(keep)
+        for ids, rows, text in columns(batches, "doc_id", "row", "text"):
             u = Units(text, min_words)
             if not len(u.lo):
                 continue
-            doc_id = ids.to_numpy(zero_copy_only=False).astype(np.int64)[u.doc[u.lo]]
+            doc_id, row = (x.to_numpy(zero_copy_only=False)[u.doc[u.lo]] for x in (ids, rows))
             begin, end = u.begin[u.lo], u.end[u.hi - 1]
-            order = np.lexsort((begin, u.doc[u.lo], doc_id, u.digest))
-            d = u.digest[order]
+            order = np.lexsort((begin, row, doc_id, u.digest))
+            d, doc_id, row, begin, end = u.digest[order], doc_id[order], row[order], begin[order], end[order]
             again = np.append(False, d[1:] == d[:-1])
-            own = mix((doc_id[order].astype(np.uint64) << np.uint64(24)) + begin[order].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(again, own, d)), pa.array(doc_id[order]), pa.array(begin[order].astype(np.int32)), pa.array(end[order].astype(np.int32)), pa.array(again)], names=[f.name for f in schema])
+            own = mix((doc_id.astype(np.uint64) << np.uint64(24)) + mix(row.astype(np.uint64)) + begin.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(again, own, d)), pa.array(doc_id), pa.array(row), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(again)], names=[f.name for f in schema])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): paragraphs that repeat an occurrence of lower rank, as [begin, end) offsets in characters; they may overlap."""
-    rows = paragraphs(docs, min_words, id_col, text_col)
-    by = W.partitionBy("digest").orderBy("again", "doc_id", "begin")
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of rows (doc_id, row, text): (doc_id, row, spans): paragraphs that repeat an occurrence of lower rank, as [begin, end) offsets in characters; they may overlap."""
+    rows = paragraphs(docs, min_words)
+    by = W.partitionBy("digest").orderBy("again", "doc_id", "row", "begin")
     rows = rows.withColumn("place", F.row_number().over(by)).where("again or place > 1")
-    return rows.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return rows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -295,14 +322,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed") -> DataFrame:
     """docs with repeats removed from text_col and, in spans_col, the offsets of what was removed (null: nothing)."""
-    long = long_repeats(docs, id_col, text_col)
-    spans = repeated_spans(docs, min_words, id_col, text_col).join(long, "doc_id", "full")
-    found = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"), F.col("runs").alias("_runs")), "spans")
+    docs = docs if read_alike(docs) else materialize(docs, "texts")
+    named = twins(docs, id_col, text_col)
+    key, row = named._names
+    texts = named.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    long = long_repeats(texts)
+    found = materialize(repeated_spans(texts, min_words).join(long, ["doc_id", "row"], "full"), "spans")
     discard(long)
     docs.sparkSession._jvm.System.gc()
     names = [c for c in docs.columns if c != spans_col]
-    joined = docs.select(*names).join(found, F.col(id_col) == F.col("_of"), "left").drop("_of")
-    schema = T.StructType([f for f in docs.schema.fields if f.name != spans_col] + ([T.StructField(spans_col, found.schema["_spans"].dataType)] if spans_col else []))
+    spans, runs = (free_name(docs, c) for c in ("spans_", "runs_"))
+    found = found.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("spans").alias(spans), F.col("runs").alias(runs))
+    joined = named.join(found, [key, row], "left").select(*names, spans, runs)
+    schema = T.StructType([f for f in docs.schema.fields if f.name != spans_col] + ([T.StructField(spans_col, found.schema[spans].dataType)] if spans_col else []))
     place = names.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,6 +210,22 @@ def test_passage_stays_once_and_other_words_stay(spark):
     assert repeats.kept_text(docs.where("false")).count() == 0
 
 
+def test_a_repeated_row_keeps_one_copy(spark):
+    """Rows that share a doc_id, with equal or other texts, and columns named like the operator's own."""
+    passage = "Alpha " + " ".join(f"w{k}" for k in range(40)) + "."
+    plain = " ".join(f"v{k}" for k in range(70))
+    rows = [(1, "own " + passage, 1, "a"), (1, "own " + passage, 1, "b"), (1, "other " + passage, 2, "c"), (2, passage, 3, "d"), (5, plain, 4, "e"), (5, plain, 4, "f"), (None, passage, 5, "g"), (None, passage, 5, "g"), (7, None, 6, "h"), (7, "", 6, "h")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, _spans int, _of string").repartition(parts)
+        out = repeats.kept_text(docs)
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text, r._of) for r in out.collect()]
+        assert len(got) == len(rows)
+        of = lambda d: sorted(t or "" for i, t, _ in got if i == d)
+        assert sum(passage in t for t in of(1)) == 1 and of(2) == [""] and of(5) == ["", plain]
+        assert of(None) == [passage, passage] and of(7) == ["", ""]
+
+
 def long_docs():
     """Lower-case texts without punctuation or line ends, with passages at any place; one repeats itself, one is periodic."""
     r = random.Random(8)
