@@ -98,15 +98,15 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rows, numbered(rows)
 
 
-def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list]:
-    """Slices of the named columns, as Arrow arrays, each of about SUB_BATCH_CHARS characters of the last one."""
+def columns(batches: Iterable[pa.RecordBatch], *names: str, chars: int = SUB_BATCH_CHARS) -> Iterator[list]:
+    """Slices of the named columns, as Arrow arrays, each of about so many characters of the last one."""
     for b in batches:
         cols = [b.column(b.schema.get_field_index(n)) for n in names]
         last = cols[-1]
         sizes = np.zeros(len(last), np.int64)
         if pa.types.is_string(last.type) or pa.types.is_large_string(last.type):
             sizes = pc.binary_length(last).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = (np.cumsum(sizes) // SUB_BATCH_CHARS).astype(np.int64) if len(last) else sizes
+        cut = (np.cumsum(sizes) // chars).astype(np.int64) if len(last) else sizes
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(last)]
         for a, z in zip(starts[:-1], starts[1:], strict=True):
             if z > a:

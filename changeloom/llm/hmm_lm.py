@@ -6,14 +6,17 @@ class of its own, all others share SHARED classes by their last two characters.
 for tokens never seen. The probability of a text is that of its classes, by the scaled forward recursion, times those inside classes.
 
 Training: token counts over all training texts are gathered by shuffle; Baum-Welch starts from these counts with random shares of the
-states. Each of its PASSES goes over all training texts, whose expected counts are summed within and then across partitions. The
-texts' classes are written once, to be read by every pass.
+states. Each pass goes over all training texts, whose expected counts are summed within and then across partitions. Passes end when one
+gains less than GAIN of the mean log probability of a token, and after PASSES at most. The texts' classes are written once, in the
+order in which the recursion meets them (all first tokens, all second ones, ...), to be read by every pass. Passes compute in single precision and sum in
+double; scores are computed in double.
 
 Counts of the HOT most frequent tokens (a bounded number) travel to every task. The other tokens of each text are joined to
 their counts by shuffle and summed by text.
 
 Null and empty texts are one end. Rows without a doc_id are scored, but belong neither to the training nor to the held-out texts.
-Rows that share a doc_id are scored one by one. With no training text all counts are zero. Other columns are not read.
+Rows that share a doc_id are scored one by one, and each counts in training. With no training text all counts are zero. A text of n tokens takes
+n steps of the recursion, which other texts of its batch share; very long texts take time in proportion to their length. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from changeloom.llm.common import ascii_words, columns, discard, materialize
 
 STATES, OWN, SHARED, HOT, LONG = 8, 4096, 256, 200_000, 64
-PASSES = 13
+PASSES, GAIN = 13, 0.001
+#: Characters of a batch: the more, the more texts share a step of the recursion.
+CHARS = 12 << 20
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 SMOOTH = 0.01
@@ -77,6 +82,7 @@ class Model:
     start: np.ndarray = field(default_factory=lambda: np.full(STATES, 1 / STATES))
     move: np.ndarray = field(default_factory=lambda: np.full((STATES, STATES), 1 / STATES))
     emit: np.ndarray | None = None  # class x state
+    passes: int = 0
 
     @property
     def classes(self) -> int:
@@ -97,63 +103,66 @@ class Model:
         return seq, lens + 1, words, codes
 
 
-def chains(count: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the t-th tokens of all sequences that have them, for t = 0, 1, ..."""
+def by_step(seq: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All first tokens, then all second ones, ...: the classes, the number of tokens of each step, and the sequences' order in every step."""
     order = np.argsort(-count, kind="stable")
     n, start = count[order], (np.cumsum(count) - count)[order]
-    alive = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
-    for t, k in enumerate(alive.tolist()):
-        yield start[:k] + t
-
-
-def forward(model: Model, seq: np.ndarray, count: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Natural log of each sequence's probability, the scales, and the scaled forward probabilities if kept."""
-    scale = np.ones(len(seq))
-    alpha = np.zeros((len(seq), STATES)) if keep else None
-    now = None
-    for at in chains(count):
-        p = model.emit[seq[at]]
-        a = (model.start if now is None else now[: len(at)] @ model.move) * p
-        s = a.sum(axis=1)
-        now = a / s[:, None]
-        scale[at] = s
-        if keep:
-            alpha[at] = now
-    chain = np.repeat(np.arange(len(count)), count)
-    return np.bincount(chain, weights=np.log(scale), minlength=len(count)), scale, alpha
-
-
-def expected(model: Model, seq: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions over the sequences."""
-    if not len(seq):
-        return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((model.classes, STATES))
-    # All t-th tokens stand together, so each step works on slices; those of step t + 1 follow the first ones of step t.
-    steps = list(chains(count))
-    size = np.array([len(at) for at in steps])
+    size = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    first = np.cumsum(size) - size
+    at = start[np.arange(int(size.sum())) - np.repeat(first, size)] + np.repeat(np.arange(len(size)), size)
+    return seq[at], size, order
+
+
+def forward(model: Model, seq: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Natural log of each sequence's probability, by the scaled forward recursion."""
+    seq, size, order = by_step(seq, count)
     ends = np.concatenate([[0], np.cumsum(size)]).tolist()
-    seq = seq[np.concatenate(steps)]
     p = model.emit[seq]
-    gamma = np.empty((len(seq), STATES))
-    now = None
+    scale, ones = np.ones((len(seq), 1)), np.ones((STATES, 1))
+    prior = np.tile(model.start, (len(count), 1))
     for a, z in zip(ends[:-1], ends[1:], strict=True):
         x = p[a:z]
-        f = (model.start if now is None else now[: z - a] @ model.move) * x
-        s = f.sum(axis=1, keepdims=True)
+        x *= prior[: z - a]
+        s = np.matmul(x, ones, out=scale[a:z])
         x /= s
-        now = np.divide(f, s, out=gamma[a:z])
+        prior = x @ model.move
+    place = np.arange(len(seq)) - np.repeat(ends[:-1], size)
+    out = np.zeros(len(count))
+    out[order] = np.bincount(place, weights=np.log(scale[:, 0]), minlength=len(count))
+    return out
+
+
+def expected(model: Model, seq: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch over sequences in the order of by_step(): expected starts, moves and emissions, and the log probability of all."""
+    if not len(seq):
+        return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((model.classes, STATES)), 0.0
+    ends = np.concatenate([[0], np.cumsum(size)]).tolist()
+    step = model.move.astype(np.float32)
+    p = model.emit.astype(np.float32)[seq]
+    gamma, scale, ones = np.empty_like(p), np.empty((len(seq), 1), np.float32), np.ones((STATES, 1), np.float32)
+    prior = np.tile(model.start.astype(np.float32), (size[0], 1))
+    for a, z in zip(ends[:-1], ends[1:], strict=True):
+        x, g = p[a:z], gamma[a:z]
+        np.multiply(prior[: z - a], x, out=g)
+        s = np.matmul(g, ones, out=scale[a:z])
+        np.reciprocal(s, out=s)
+        x *= s
+        g *= s
+        prior = g @ step
     move = np.zeros((STATES, STATES))
-    beta = np.ones((len(count), STATES))
-    back = np.ascontiguousarray(model.move.T)
-    for t in range(len(steps) - 2, -1, -1):
+    beta = np.ones((int(size[0]), STATES), np.float32)
+    back = np.ascontiguousarray(step.T)
+    for t in range(len(size) - 2, -1, -1):
         a, z = ends[t + 1], ends[t + 2]
+        k = z - a
         b = p[a:z]
-        b *= beta[: z - a]
-        before = gamma[ends[t] : ends[t] + z - a]
+        b *= beta[:k]
+        before = gamma[ends[t] : ends[t] + k]
         move += before.T @ b
-        np.matmul(b, back, out=beta[: z - a])
-        before *= beta[: z - a]
+        np.matmul(b, back, out=beta[:k])
+        before *= beta[:k]
     emit = np.stack([np.bincount(seq, weights=gamma[:, s], minlength=model.classes) for s in range(STATES)], axis=1)
-    return gamma[: size[0]].sum(axis=0), move * model.move, emit
+    return gamma[: size[0]].sum(axis=0, dtype=float), move * model.move, emit, -float(np.log(scale).sum(dtype=float))
 
 
 def update(model: Model, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
@@ -163,41 +172,41 @@ def update(model: Model, first: np.ndarray, move: np.ndarray, emit: np.ndarray)
 
 
 def classes_of(texts: DataFrame, model: Model) -> DataFrame:
-    """(seq, count): the classes of many texts a row, and their tokens a text, as bytes."""
+    """(seq, size): the classes of many texts a row in the order of by_step(), and the number of tokens of each step, as bytes."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for (text,) in columns(batches, "text"):
-            seq, count, _, _ = m.sequences(text)
-            yield pa.RecordBatch.from_arrays([pa.array([seq.astype(np.min_scalar_type(m.classes)).tobytes()], pa.binary()), pa.array([count.astype(np.int64).tobytes()], pa.binary())], names=["seq", "count"])
+        for (text,) in columns(batches, "text", chars=CHARS):
+            seq, size, _ = by_step(*m.sequences(text)[:2])
+            yield pa.RecordBatch.from_arrays([pa.array([seq.astype(np.min_scalar_type(m.classes)).tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary())], names=["seq", "size"])
 
-    return texts.select("text").mapInArrow(run, "seq binary, count binary")
+    return texts.select("text").mapInArrow(run, "seq binary, size binary")
 
 
-def expected_over(chained: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions over all rows of classes_of."""
+def expected_over(chained: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, moves and emissions over all rows of classes_of, and the log probability of all."""
     shared = chained.sparkSession.sparkContext.broadcast(Model(0, 0, {}, model.own, model.inside, model.start, model.move, model.emit))
     names = [f"x{s}" for s in range(STATES)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        sums = np.zeros((1 + STATES + m.classes, STATES))
+        sums = np.zeros((2 + STATES + m.classes, STATES))
         for b in batches:
-            for seq, count in zip(b.column(0), b.column(1), strict=True):
+            for seq, size in zip(b.column(0), b.column(1), strict=True):
                 kind = np.frombuffer(seq.as_buffer(), np.min_scalar_type(m.classes)).astype(np.int64)
-                first, move, emit = expected(m, kind, np.frombuffer(count.as_buffer(), np.int64))
-                sums += np.vstack([first[None], move, emit])
+                first, move, emit, log_p = expected(m, kind, np.frombuffer(size.as_buffer(), np.int64))
+                sums += np.vstack([np.full(STATES, log_p)[None], first[None], move, emit])
         row = np.flatnonzero(sums.any(axis=1))
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(sums[row, s]) for s in range(STATES))], names=["row", *names])
 
-    sums = np.zeros((1 + STATES + model.classes, STATES))
+    sums = np.zeros((2 + STATES + model.classes, STATES))
     rows = chained.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in names))
     for r in rows.groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).collect():
         sums[r.row] = r[1:]
     shared.unpersist()
-    return sums[0], sums[1 : 1 + STATES], sums[1 + STATES :]
+    return sums[1], sums[2 : 2 + STATES], sums[2 + STATES :], float(sums[0, 0])
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -229,8 +238,14 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     update(model, np.ones(STATES), np.ones((STATES, STATES)) + 20 * np.eye(STATES), seen[:, None] * noise)
     if total:
         chained = materialize(classes_of(texts, model), "classes")
-        for _ in range(PASSES):
-            update(model, *expected_over(chained, model))
+        before = -np.inf
+        while model.passes < PASSES:
+            *counts_of, log_p = expected_over(chained, model)
+            update(model, *counts_of)
+            model.passes += 1
+            if log_p - before < GAIN * abs(log_p):
+                break
+            before = log_p
         discard(chained)
     return model, counts
 
@@ -243,7 +258,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         at = TaskContext.get().partitionId() << 40
-        for ids, held, text in columns(batches, "doc_id", "held_out", "text"):
+        for ids, held, text in columns(batches, "doc_id", "held_out", "text", chars=CHARS):
             seq, count, words, codes = m.sequences(text)
             c = np.array([m.hot.get(w, -1) for w in words.to_pylist()], np.int64)
             own, kind = m.class_of(words) if len(words) else (np.zeros(0, np.int64),) * 2
@@ -254,7 +269,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             sums = lambda x: np.bincount(row, weights=x[codes], minlength=len(count)) if len(codes) else np.zeros(len(count))
             end = m.hot[END]
             hot = sums(log_c) + np.log10(end + 1.0)
-            chain = forward(m, seq, count)[0] / np.log(10) + sums(inside + np.where(own >= 0, 0.0, log_c))
+            chain = forward(m, seq, count) / np.log(10) + sums(inside + np.where(own >= 0, 0.0, log_c))
             known = sums((c > 0).astype(float)) + (end > 0)
             rare = np.flatnonzero(c[codes] < 0) if len(codes) else np.zeros(0, np.int64)
             pair, n = np.unique(row[rare] * max(1, len(words)) + codes[rare], return_counts=True)
