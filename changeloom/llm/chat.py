@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.llm.common import in_worker
+
 OPEN, CLOSE, MARK = "⟪", "⟫", "⁅"
 END = f"{OPEN}/{CLOSE}"
 _ESCAPED = {MARK: MARK + "0", OPEN: MARK + "1", CLOSE: MARK + "2"}
@@ -102,6 +104,7 @@ def format_log(events: DataFrame) -> DataFrame:
     order = ["conv", "seq", "kind", "role", "text", "target"]
     dealt = events.select(*order).repartition("conv").sortWithinPartitions(*order)
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, log, seen, rows, size = None, [], False, [], 0
         for b in batches:
@@ -132,6 +135,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """What the output says, by conversation: turns and their digest, characters and digest under the loss mask."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

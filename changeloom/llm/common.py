@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,36 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Tables that a Python worker keeps from task to task; they go when it starts to work for another operator.
+WORKER_CACHES: list[dict] = []
+_at_work: list[str] = [""]
+
+
+def worker_cache() -> dict:
+    WORKER_CACHES.append({})
+    return WORKER_CACHES[-1]
+
+
+def in_worker(run: Callable) -> Callable:
+    """For functions given to mapInArrow: a worker keeps the tables of one operator only, and gives memory back after each task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _at_work[0] != run.__module__:
+            _at_work[0] = run.__module__
+            for cache in WORKER_CACHES:
+                cache.clear()
+        yield from run(batches)
+        gc.collect(0)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """16 bytes that name a row by its id and text, in the order of the ids (null without one). Rows with equal keys hold equal ids and texts."""
     digest = F.substring(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), 1, 16)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ascii_words, columns, mix, word_hashes
+from changeloom.llm.common import ascii_words, columns, in_worker, mix, word_hashes
 
 WINDOW, STEP, GRAM, BLOCK = 64, 32, 5, 16
 #: Any run of so many words lies inside one passage.
@@ -167,6 +167,7 @@ def answer_words(text: str) -> int:
 def word_counts(items: DataFrame) -> tuple[int, int, dict[str, int]]:
     """Items, words, and in how many items each word stands, for words in more than one."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (text,) in columns(batches, "text"):
             codes, words, lens = ascii_words(text)
@@ -204,6 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
 
 
 def _search(shared, threshold: float, overlap: float):
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for ids, text in columns(batches, "doc_id", "text"):
@@ -216,6 +218,7 @@ def _search(shared, threshold: float, overlap: float):
 
 
 def _without(shared, threshold: float, overlap: float, place: int):
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             clean, at = np.ones(len(b), bool), 0

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ascii_words, columns, discard, materialize
+from changeloom.llm.common import ascii_words, columns, discard, in_worker, materialize
 
 STATES, OWN, SHARED, HOT, LONG = 8, 4096, 256, 200_000, 64
 PASSES, GAIN = 13, 0.001
@@ -50,6 +50,7 @@ def training(id_col: str = "doc_id"):
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the texts, ends included."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (text,) in columns(batches, "text"):
             codes, words, _ = ascii_words(text)
@@ -175,6 +176,7 @@ def classes_of(texts: DataFrame, model: Model) -> DataFrame:
     """(seq, size): the classes of many texts a row in the order of by_step(), and the number of tokens of each step, as bytes."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for (text,) in columns(batches, "text", chars=CHARS):
@@ -189,6 +191,7 @@ def expected_over(chained: DataFrame, model: Model) -> tuple[np.ndarray, np.ndar
     shared = chained.sparkSession.sparkContext.broadcast(Model(0, 0, {}, model.own, model.inside, model.start, model.move, model.emit))
     names = [f"x{s}" for s in range(STATES)]
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         sums = np.zeros((2 + STATES + m.classes, STATES))
@@ -255,6 +258,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, hot double, chain double, tail map<string,int>"
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         at = TaskContext.get().partitionId() << 40

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import ascii_words, columns, discard, free_name, id_of, materialize, mix, row_key, whole_groups, word_hashes
+from changeloom.llm.common import ascii_words, columns, discard, free_name, id_of, in_worker, materialize, mix, row_key, whole_groups, word_hashes
 from changeloom.llm.components import components
 
 Q, M, BINS = 3, 10, 256
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """Of rows (node, text): node, n, digest (d1, d2) of the set, both collections of small hashes and the sketch (none for empty sets)."""
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
@@ -146,6 +147,7 @@ def keys(classes: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, set) for the wanted nodes, written once: the sorted 64-bit hashes as bytes. The wanted grow with the input, so they aren't broadcast."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, text in columns(batches, "node", "text"):
             yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in shingle_sets(text, n)], pa.binary())], names=["node", "set"])
@@ -160,6 +162,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, x, y) the distinct (x, y) whose sets at a and b have 100 * intersection >= percent * union."""
     left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")) for side in ("a", "b"))
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -216,6 +219,7 @@ def asking(dealt: DataFrame, percent: int) -> DataFrame:
     """The rows of dealt() that have a candidate in their group: another component, a common table key, alike in size and sketch."""
     names = [*GROUP, "block", "rep", "c", "n"]
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, GROUP):
             i, block, n, apart = (rows[c].to_numpy() for c in ("i", "block", "n", "lo"))
@@ -259,6 +263,7 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def linked(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between the components of asking()'s rows, at most one a component and group, by their full sets."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, GROUP):
             block, n, lo, hi = (rows[c].to_numpy() for c in ("block", "n", "lo", "hi"))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ascii_words, columns
+from changeloom.llm.common import ascii_words, columns, in_worker
 
 TRAIN_DOCS, TRAIN_LINES, STEPS = 4000, 2000, 250
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "|", "#$%&*+<=>@[\\]^_`{}~/", "!?", ".,;:'\"()-")
@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Field:
     sample = told.where("q = q2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "q")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "q", "text")
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, q, text in columns(batches, "doc_id", "q", "text"):
             x, size, count = line_features(text)
@@ -203,6 +204,7 @@ def scored(docs: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, held, text in columns(batches, "doc_id", "held_out", "text"):
             s = shared.value.score(*line_features(text))
@@ -217,6 +219,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     place = docs.columns.index("text")
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from changeloom.llm.word_bpe import pieces_of
 

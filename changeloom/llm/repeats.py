@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import coded, columns, discard, free_name, materialize, mix, word_hashes
+from changeloom.llm.common import coded, columns, discard, free_name, in_worker, materialize, mix, word_hashes
 
 MIN_WORDS = 30
 LONG, ANCHOR, EDGE = 51, 26, 5
@@ -159,6 +159,7 @@ def read_alike(docs: DataFrame) -> bool:
 def sketches(docs: DataFrame) -> DataFrame:
     """(sketch, doc_id, row, key, more): the first of each sketch in a batch has it as key, with more set if the batch has others; those have a key of their own."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows, text in columns(batches, "doc_id", "row", "text"):
             u = Units(text, MIN_WORDS)
@@ -193,6 +194,7 @@ def long_repeats(docs: DataFrame) -> DataFrame:
     docs.sparkSession._jvm.System.gc()
     some = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "sketches", "text")
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows, wanted, text in columns(batches, "doc_id", "row", "sketches", "text"):
             u = Units(text, MIN_WORDS)
@@ -223,6 +225,7 @@ def long_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(by)).withColumn("first", F.first(F.struct("doc_id", "row", "span")).over(by))
     rows = rows.where(f"again or place > 1 and (doc_id <> first.doc_id or row <> first.row or shiftright(span, 32) >= first.span & {LOW})")
 
+    @in_worker
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = b.column(2)
@@ -270,6 +273,7 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
     """(digest, doc_id, row, begin, end, again): the first of each digest in a batch; later ones with again set and a digest of their own."""
     schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())])
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows, text in columns(batches, "doc_id", "row", "text"):
             u = Units(text, min_words)
@@ -337,6 +341,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     schema = T.StructType([f for f in docs.schema.fields if f.name != spans_col] + ([T.StructField(spans_col, found.schema[spans].dataType)] if spans_col else []))
     place = names.index(text_col)
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, long = b.column(len(names)), b.column(len(names) + 1)

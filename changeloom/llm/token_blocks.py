@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from changeloom.llm.common import columns, work_dir
+from changeloom.llm.common import columns, in_worker, work_dir, worker_cache
 from changeloom.llm.word_table import WordTable
 
 MAGIC = b"PFB1"
@@ -158,7 +158,7 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-_tables: dict[str, WordTable] = {}
+_tables: dict[str, WordTable] = worker_cache()
 
 
 def write(df: DataFrame, path: str, end_id: int, folder: str | None = None, n_files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
@@ -172,6 +172,7 @@ def write(df: DataFrame, path: str, end_id: int, folder: str | None = None, n_fi
     docs = df.select(id_col, text_col).repartitionByRange(n_files, id_col).sortWithinPartitions(id_col)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         files, base = filesystem(folder)
@@ -208,6 +209,7 @@ def read(spark, files: list[tuple[str, int, int]], digest: bool = False) -> Data
     if not told:
         return spark.createDataFrame([], schema)
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from changeloom.llm.common import coded, columns
+from changeloom.llm.common import coded, columns, in_worker, worker_cache
 
 _NEVER = np.int32(2**31 - 1)
 _SPACE = "▁"
@@ -183,7 +183,7 @@ class PieceCounts:
         return out
 
 
-_counts: dict[str, PieceCounts] = {}
+_counts: dict[str, PieceCounts] = worker_cache()
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 4096, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -191,6 +191,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 4096, text_col: str = "t
     kept = df.select(*keep, text_col)
     schema = T.StructType([*kept.schema.fields[: len(keep)], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counts:
             _counts[path] = PieceCounts(path)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import materialize
+from changeloom.llm.common import in_worker, materialize
 from changeloom.llm.components import components
 
 PIVOTS, NEAREST, SHARED, BLOCK = 1024, 12, 2, 1024
@@ -47,6 +47,7 @@ def nearest(x: np.ndarray) -> np.ndarray:
 def described(vectors: DataFrame) -> DataFrame:
     """vec_id, label, dim, digest of the components, pivots; dim 0 and no pivots for rows that link with nothing."""
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import SUB_BATCH_CHARS
+from changeloom.llm.common import SUB_BATCH_CHARS, in_worker, worker_cache
 from changeloom.llm.word_table import WordTable, byte_letters, tokenizer
 
-_tables: dict[str, WordTable] = {}
+_tables: dict[str, WordTable] = worker_cache()
 
 
 def word_table(path: str) -> WordTable:
@@ -51,6 +51,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     schema = T.StructType([*keep, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
     names = [f.name for f in keep]
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
         for batch in batches:
@@ -63,7 +64,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     return df.mapInArrow(run, schema)
 
 
-_pieces: dict[str, list[bytes]] = {}
+_pieces: dict[str, list[bytes]] = worker_cache()
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -83,6 +84,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     schema = T.StructType([*keep, T.StructField(text_col, T.StringType(), False)])
     names = [f.name for f in keep]
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = piece_bytes(path).__getitem__
         for b in batches:
@@ -99,6 +101,7 @@ def digests(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...
     kept = df.select(*keep, ids_col)
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
+    @in_worker
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_bytes(path)
         piece, number = pieces.__getitem__, list(map(str, range(len(pieces)))).__getitem__

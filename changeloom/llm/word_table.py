@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from changeloom.llm.common import coded, ragged
+from changeloom.llm.common import coded, ragged, worker_cache
 
 #: White space in the sense of Unicode and of Python: texts are split only next to characters outside this set.
 _SPACE = r"\s\x1c-\x1f\x85"
@@ -25,7 +25,7 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A pre-token ends between a letter and one of these signs, whatever stands around them.
 _END = ("([A-Za-zÀ-ÖØ-öø-ÿ])([!#$%&*,.|])", "\\1\0\\2")
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = worker_cache()
 
 
 def tokenizer(path: str):
