@@ -52,14 +52,14 @@ def collapse(log: DataFrame, keys: list[str], values: list[str], mode: str = "co
 
 def merge(target: DataFrame, log: DataFrame, keys: list[str], values: list[str], deletes: str = "hard", mode: str = "column") -> DataFrame:
     """The target after the log. deletes "hard" removes rows; "soft" keeps them with _is_deleted set: a row that was there keeps its
-    values, one that wasn't becomes a row of the delete's image. An upsert clears the mark."""
+    values, one that wasn't becomes a row of the delete's image. An upsert clears the mark; columns that it leaves out are null then."""
     t = target.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t_{c}") for c in values], (F.col("_is_deleted") if "_is_deleted" in target.columns else F.lit(False)).alias("t_gone"), F.lit(True).alias("t_here"))
     s = collapse(log, keys, values, mode).withColumn("s_here", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"t_{k}") for k in keys])
     both = t.join(s, on, "full_outer")
     is_delete = F.coalesce(F.col("op") == DELETE, F.lit(False))
     keep_old = F.col("s_here").isNull() | (is_delete & F.col("t_here").isNotNull())
-    value = lambda c: F.when(keep_old, F.col(f"t_{c}")).when(F.col(f"{c}.known"), F.col(f"{c}.v")).otherwise(F.col(f"t_{c}")).alias(c)
+    value = lambda c: F.when(keep_old, F.col(f"t_{c}")).when(F.col(f"{c}.known"), F.col(f"{c}.v")).when(~F.coalesce("t_gone", F.lit(False)), F.col(f"t_{c}")).alias(c)
     out = [F.coalesce(k, f"t_{k}").alias(k) for k in keys] + [value(c) for c in values]
     if deletes == "hard":
         return both.where(~is_delete).select(*out)
@@ -67,6 +67,40 @@ def merge(target: DataFrame, log: DataFrame, keys: list[str], values: list[str],
     return both.select(*out, mark)
 
 
+AT = "struct<pos:decimal(20,0),seq:bigint>"
+
+
+def state_of(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The log as one row a key that combine() puts together with others in any order: _last (position and op of the last record), _gone (position
+    of the last delete) with its _image, and for each value column the latest value that was sent, with its position."""
+    seq = F.col("seq") if "seq" in log.columns else F.lit(0)
+    rank = F.struct(F.col("pos").cast("decimal(20,0)").alias("pos"), seq.cast("bigint").alias("seq"))
+    gone = F.when(F.col("op") == DELETE, rank)
+    sent = {c: F.when((F.col("op") != DELETE) & ~_left_out(log, c), rank) for c in values}
+    return log.groupBy(*keys).agg(
+        F.max(F.struct(rank.alias("at"), F.col("op").cast("int").alias("op"))).alias("_last"),
+        F.max(gone).alias("_gone"),
+        F.max_by(F.struct(*values), gone).alias("_image"),
+        *[F.max_by(F.struct(rank.alias("at"), F.col(c).alias("v")), sent[c]).alias(c) for c in values],
+    )
+
+
+def combine(states: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows of several state_of() results as one row a key. The order in which they came doesn't matter, and repeats change nothing."""
+    return states.groupBy(*keys).agg(F.max("_last").alias("_last"), F.max("_gone").alias("_gone"), F.max_by("_image", "_gone").alias("_image"), *[F.max_by(c, F.col(f"{c}.at")).alias(c) for c in values])
+
+
+def visible(state: DataFrame, keys: list[str], values: list[str], deletes: str = "hard") -> DataFrame:
+    """The table that a state stands for. A value sent before the last delete is gone. deletes "soft": deleted rows stay, marked by
+    _is_deleted, with the delete's image, or the last value sent where that is null."""
+    is_delete = F.col("_last.op") == DELETE
+    fresh = lambda c: F.when(F.col("_gone").isNull() | (F.col(f"{c}.at") > F.col("_gone")), F.col(f"{c}.v"))
+    if deletes == "hard":
+        return state.where(~is_delete).select(*keys, *[fresh(c).alias(c) for c in values])
+    held = lambda c: F.when(is_delete, F.coalesce(F.col("_image")[c], F.col(f"{c}.v"))).otherwise(fresh(c))
+    return state.select(*keys, *[held(c).alias(c) for c in values], is_delete.alias("_is_deleted"))
+
+
 def split_key_changes(log: DataFrame, keys: list[str], before: str = "before_{}") -> DataFrame:
     """Updates that change the key become a delete of the old key and an insert of the new one at the same position.
 

@@ -35,9 +35,18 @@ def scan(rows: DataFrame, key: str, start: int, end: int) -> DataFrame:
     return rows.where((F.col(key) >= start) & (F.col(key) < end))
 
 
+def cells(rows: DataFrame, key: str, chunks: DataFrame, start: str = "start_pk", end: str = "end_pk") -> tuple[DataFrame, DataFrame]:
+    """Both sides with _cell, a number that rows share with every chunk that may hold them: keys are dealt to cells as wide as the widest chunk,
+    so a chunk stands in two cells at most. It turns a join by range into one by equality, which hashes and pre-sorts."""
+    width = chunks.agg(F.max(F.col(end) - F.col(start))).first()[0] or 1
+    cell = lambda c: F.expr(f"({c} - pmod({c}, {int(width)}L)) div {int(width)}L")
+    return rows.withColumn("_cell", cell(f"cast(`{key}` as bigint)")), chunks.withColumn("_cell", F.explode(F.sequence(cell(f"`{start}`"), cell(f"(`{end}` - 1)"))))
+
+
 def chunk_of(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
-    """Rows with their chunk. The chunks of one table are few (at most MOST_CHUNKS) and travel to the rows."""
-    return rows.join(F.broadcast(chunks), (F.col(key) >= F.col("start_pk")) & (F.col(key) < F.col("end_pk")))
+    """Rows with their chunk."""
+    mine, theirs = cells(rows, key, chunks.select("partition_id", "start_pk", "end_pk"))
+    return mine.join(theirs, "_cell").where((F.col(key) >= F.col("start_pk")) & (F.col(key) < F.col("end_pk"))).drop("_cell")
 
 
 def to_do(chunks: DataFrame, state: DataFrame) -> DataFrame:

@@ -389,9 +389,9 @@ def tstz_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, _TSTZ).select("x", scalar.normalize_tstz(F.col("x")).alias("utc"))
 
 
-@query("micros_to_text", "SELECT event_id, strftime(make_timestamp(event_id * 86399999983 - 1000000), '%Y-%m-%d %H:%M:%S.%f') AS t FROM events WHERE event_id < 20000")
+@query("micros_to_text", "SELECT event_id, strftime(make_timestamp(event_id % 20000 * 86399999983 - 1000000), '%Y-%m-%d %H:%M:%S.%f') AS t FROM events")
 def micros_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id < 20000").select("event_id", scalar.micros_text(F.col("event_id") * 86399999983 - 1000000).alias("t"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.micros_text(F.col("event_id") % 20000 * 86399999983 - 1000000).alias("t"))
 
 
 @query("epoch_to_text", "SELECT event_id, strftime(make_timestamp((1778368097 + event_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS t FROM events")

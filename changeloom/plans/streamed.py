@@ -38,7 +38,7 @@ def stream_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = envelope(orders_log(spark, sf_dir))
     for k in batch_ids(log):
         log.where(F.col("batch_id") == k).coalesce(1).write.mode("append").parquet(f"{base}/log")
-    target = Target(spark, f"{base}/target", spark.createDataFrame([], "k long, status string, price double").schema, ["k"], buckets=8)
+    target = Target(spark, f"{base}/target", spark.createDataFrame([], "k long, status string, price double").schema, ["k"])
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
     start(stream, Normalizer({"shop.orders": target}), f"{base}/checkpoint").awaitTermination()
     return target.read()

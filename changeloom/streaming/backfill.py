@@ -19,7 +19,7 @@ def chunks_of(rows: DataFrame, key: str, size: int) -> DataFrame:
     return snapshot.plan(snapshot.key_range(rows, key), size)
 
 
-def copy(rows: DataFrame, target: Target, high: int, batch: int) -> bool:
-    """Publish the table's rows as of position `high` as one batch. The log's rows at or below it lose to these, later ones win."""
+def copy(rows: DataFrame, target: Target, high: int, batch: int, feed: str = "backfill") -> bool:
+    """Publish the table's rows as of position `high` as one batch. The log's rows at or below it lose to these, later ones win, whichever came first."""
     log = rows.withColumns({"op": F.lit(INSERT), "pos": F.lit(high).cast("decimal(20,0)"), "seq": F.lit(-1).cast("long")})
-    return target.apply(log, batch)
+    return target.apply(log, batch, feed)

@@ -21,13 +21,16 @@ from changeloom.streaming.store import Target
 def typed_rows(log: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
     """Envelope data rows in the columns of schema: the new image, for deletes the old one. Key-changing updates are split.
 
-    Columns that an update names as unchanged but whose old image holds a value take it from there."""
+    Columns that an update names as unchanged but whose old image holds a value take it from there. An image that isn't JSON, or holds a
+    value that doesn't fit its column, or lacks a key, is an error: no record is skipped."""
     data = ops.data_records(log)
-    image = F.from_json(F.coalesce("after", "before"), schema)
-    old = F.from_json("before", schema)
+    image = F.from_json(F.coalesce("after", "before"), schema, {"mode": "FAILFAST"})
+    old = F.from_json("before", schema, {"mode": "FAILFAST"})
     rows = data.select("op", "pos", "seq", F.coalesce("unchanged", F.array().cast("array<string>")).alias("unchanged"), image.alias("i"), old.alias("o"), F.coalesce(F.json_object_keys("before"), F.array().cast("array<string>")).alias("told"))
     value = lambda c: F.when(F.array_contains("unchanged", c) & F.array_contains("told", c), F.col(f"o.{c}")).otherwise(F.col(f"i.{c}")).alias(c)
-    rows = rows.select("op", "pos", "seq", F.array_except("unchanged", "told").alias("unchanged"), *[value(f.name) for f in schema.fields], *[F.when(F.col("op") != DELETE, F.col(f"o.{k}")).alias(f"before_{k}") for k in keys])
+    lacking = F.raise_error(F.concat(F.lit("an image without a key at position "), F.coalesce(F.col("pos").cast("string"), F.lit("?"))))
+    checked = {f.name: value(f.name) if f.name not in keys else F.coalesce(value(f.name), lacking.cast(f.dataType)).alias(f.name) for f in schema.fields}
+    rows = rows.select("op", "pos", "seq", F.array_except("unchanged", "told").alias("unchanged"), *checked.values(), *[F.when(F.col("op") != DELETE, F.col(f"o.{k}")).alias(f"before_{k}") for k in keys])
     return ops.split_key_changes(rows, keys)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
@@ -116,7 +117,7 @@ class JsonFiles(Sink):
         body = F.regexp_replace(image, r"\}\s*$", "")
         audit = F.to_json(F.struct(F.col("op").alias("_op_type"), (F.col("op") == 2).alias("_is_deleted"), F.coalesce("pos", F.lit(0)).alias("_cdc_version")))
         line = F.concat(body, F.when(F.trim(body) == "{", "").otherwise(","), F.substring(audit, 2, 1_000_000))
-        rows.select(line.alias("value"), F.col("src_table").alias("table")).write.mode("overwrite").partitionBy("table").text(f"{self.path}/batch={batch}")
+        rows.select(line.alias("value"), F.concat_ws(".", F.when(F.col("src_schema") != "", F.col("src_schema")), "src_table").alias("table")).write.mode("overwrite").partitionBy("table").text(f"{self.path}/batch={batch}")
         return _told(log)
 
 
@@ -157,13 +158,22 @@ class Recording(Sink):
         self.closed = True
 
 
-def drain(staged: RawParquet, targets: dict[str, Target]) -> int:
-    """Merge all staged batches into the targets, in order, then delete them. A batch that fails stops the drain; none is skipped."""
+def drain(staged: RawParquet, targets: dict[str, Target], attempts: int = 3, wait: float = 1.0) -> int:
+    """Merge all staged batches into the targets, in order, then delete them. A batch that fails is tried again after a growing wait; one that
+    fails `attempts` times stops the drain, none is skipped. A target's publication moves its pointer with its rows, so a batch that
+    was merged but not yet deleted changes nothing when it is tried again."""
     done = 0
     for batch in staged.pending(-1):
-        rows = staged.read().where(F.col("_batch_id") == batch)
-        for name, target in targets.items():
-            target.apply(raw.typed(rows.where(F.col("_dst_table") == name), target.schema), batch)
-        staged.drop(batch)
+        for k in range(attempts):
+            try:
+                rows = staged.read().where(F.col("_batch_id") == batch)
+                for name, target in targets.items():
+                    target.apply(raw.typed(rows.where(F.col("_dst_table") == name), target.schema), batch)
+                staged.drop(batch)
+                break
+            except Exception:
+                if k + 1 == attempts:
+                    raise
+                time.sleep(wait * 2**k)
         done += 1
     return done

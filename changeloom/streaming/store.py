@@ -1,8 +1,12 @@
 """A keyed target on Parquet with atomic publication.
 
-Rows are dealt to a fixed number of buckets by key. A batch rewrites only the buckets that its keys touch, below a new version folder;
-then one small file, CURRENT, is replaced by a rename. It names the folder of every bucket, the last batch and the schema, so
-readers see all of a batch or nothing. A batch that was published before changes nothing.
+A batch is collapsed to one row a key that holds positions beside values (merge.state_of) and appended as a part of its own, so what a
+batch writes is in proportion to it. Reading combines the parts by key. As every value has its position, the order in which batches
+and backfilled chunks arrive doesn't matter. FAN parts of one level become one of the next, so a row is rewritten a
+logarithmic number of times. Deleted keys stay as small marks until forget() says that nothing older can arrive.
+
+One small file, CURRENT, is replaced by a rename; it names the parts, the last batch of each feed and the schema, so readers see all of a
+batch or nothing. A batch that was published before changes nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.model import DELETE
 from changeloom.operators import merge as ops
 from changeloom.operators.schema import evolve
 
@@ -69,59 +74,85 @@ class Files:
         self.fs.delete(self._path(name), True)
 
 
+#: So many parts of one level are made into one.
+FAN = 4
+
+
 class Target:
     """A table of keys and values at a path. Soft deletes keep rows with _is_deleted set."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], deletes: str = "hard", buckets: int = 32, mode: str = "column"):
-        self.spark, self.path, self.keys, self.deletes, self.mode, self.buckets = spark, path, keys, deletes, mode, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], deletes: str = "hard"):
+        self.spark, self.path, self.keys, self.deletes = spark, path, keys, deletes
         self.files = Files(spark, path)
-        self.state = json.loads(self.files.read("CURRENT") or "null") or {"batch": -1, "version": 0, "folders": {}, "schema": schema.jsonValue(), "buckets": buckets, "pos": None}
-        self.buckets = self.state["buckets"]
+        self.state = json.loads(self.files.read("CURRENT") or "null") or {"batches": {}, "version": 0, "parts": [], "schema": schema.jsonValue(), "pos": None, "low": None}
         self.schema = T.StructType.fromJson(self.state["schema"])
+        self.add_columns(schema.fields)
 
     @property
     def values(self) -> list[str]:
         return [f.name for f in self.schema.fields if f.name not in self.keys]
 
     def _stored(self) -> T.StructType:
-        return T.StructType([*self.schema.fields, *([T.StructField("_is_deleted", T.BooleanType())] if self.deletes == "soft" else [])])
+        at = T._parse_datatype_string(ops.AT)
+        values = [f for f in self.schema.fields if f.name not in self.keys]
+        marks = [T.StructField("_last", T.StructType([T.StructField("at", at), T.StructField("op", T.IntegerType())])), T.StructField("_gone", at), T.StructField("_image", T.StructType([T.StructField(f.name, f.dataType) for f in values]))]
+        return T.StructType([*[f for f in self.schema.fields if f.name in self.keys], *marks, *[T.StructField(f.name, T.StructType([T.StructField("at", at), T.StructField("v", f.dataType)])) for f in values]])
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The published rows, of some buckets or all."""
-        names = [f"{self.path}/{v}/_bucket={b}" for b, v in self.state["folders"].items() if only is None or int(b) in only]
-        if not names:
+    def _rows(self, parts: list[dict]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], self._stored())
-        return self.spark.read.schema(self._stored()).parquet(*names)
+        rows = self.spark.read.schema(self._stored()).parquet(*[f"{self.path}/{p['folder']}" for p in parts])
+        return rows if len(parts) == 1 else ops.combine(rows, self.keys, self.values)
+
+    def read(self) -> DataFrame:
+        """The published rows."""
+        return ops.visible(self._rows(self.state["parts"]), self.keys, self.values, self.deletes)
 
     def add_columns(self, fields: list[T.StructField]) -> None:
         """Additive evolution: old rows read null."""
         self.schema = T.StructType([*self.schema.fields, *[T.StructField(f.name, f.dataType, True) for f in fields if f.name not in self.schema.fieldNames()]])
 
-    def apply(self, log: DataFrame, batch: int) -> bool:
-        """Merge a batch and publish; False if it was published before. log: keys, values, op, pos, seq, unchanged."""
-        if batch <= self.state["batch"]:
+    def _write(self, state: DataFrame) -> str:
+        folder = f"v={self.state['version'] + 1:08d}"
+        self.files.remove(folder)  # left by an attempt that wasn't published
+        state.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _publish(self, **change) -> None:
+        self.state = self.state | {"version": self.state["version"] + 1, "schema": self.schema.jsonValue()} | change
+        self.files.replace("CURRENT", json.dumps(self.state))
+
+    def apply(self, log: DataFrame, batch: int, feed: str = "log") -> bool:
+        """Merge a batch and publish; False if it was published before or is empty. log: keys, values, op, pos, seq, unchanged. Batches count up in each feed."""
+        if batch <= self.state["batches"].get(feed, -1):
             return False
-        log = evolve(log, self.schema)
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        # What the driver gets: at most one number a bucket, and the highest position.
-        touched = log.groupBy(bucket.alias("b")).agg(F.max("pos").alias("pos")).collect()
-        if not touched:
+        folder = self._write(ops.state_of(evolve(log, self.schema), self.keys, self.values))
+        high = self._rows([{"folder": folder}]).agg(F.max("_last.at.pos").alias("pos"), F.count("*").alias("n")).first()
+        if not high.n:
+            self.files.remove(folder)
             return False
-        out = ops.merge(self.read([r.b for r in touched]), log, self.keys, self.values, self.deletes, self.mode)
-        version = f"v={self.state['version'] + 1:08d}"
-        self.files.remove(version)  # left by an attempt that wasn't published
-        out.withColumn("_bucket", bucket).repartition(min(len(touched), self.buckets), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
-        written = {n.split("=")[1] for n in Files(self.spark, f"{self.path}/{version}").folders() if n.startswith("_bucket=")}
-        folders = {b: v for b, v in self.state["folders"].items() if int(b) not in {r.b for r in touched}} | dict.fromkeys(written, version)
-        high = max([int(r.pos) for r in touched if r.pos is not None] + ([int(self.state["pos"])] if self.state["pos"] is not None else []), default=None)
-        self.state = self.state | {"batch": batch, "version": self.state["version"] + 1, "folders": folders, "schema": self.schema.jsonValue(), "pos": high}
-        self.files.replace("CURRENT", json.dumps(self.state))
-        self.clean()
+        pos = max((int(p) for p in (high.pos, self.state["pos"]) if p is not None), default=None)
+        self._publish(batches=self.state["batches"] | {feed: batch}, parts=[*self.state["parts"], {"folder": folder, "level": 0}], pos=pos)
+        self.compact()
         return True
 
+    def compact(self, every: bool = False) -> None:
+        """Make the last FAN parts of one level into one of the next, again and again; every: all parts into one."""
+        while (parts := self.state["parts"]) and (every and len(parts) > 1 or len(parts) >= FAN and len({p["level"] for p in parts[-FAN:]}) == 1):
+            some = parts if every else parts[-FAN:]
+            rows = self._rows(some)
+            if len(some) == len(parts) and self.state["low"] is not None:
+                rows = rows.where((F.col("_last.op") != DELETE) | (F.col("_last.at.pos") >= self.state["low"]) | F.lit(self.deletes == "soft"))
+            folder = self._write(rows)
+            self._publish(parts=[*parts[: -len(some)], {"folder": folder, "level": max(p["level"] for p in some) + 1}])
+        self.clean()
+
+    def forget(self, low: int) -> None:
+        """Nothing below this position will arrive any more: marks of keys deleted before it may go when parts are joined."""
+        self._publish(low=max(low, self.state["low"] or 0))
+
     def clean(self, keep: int = 2) -> None:
-        """Delete version folders that no bucket names, but for the newest ones, which readers may still be on."""
-        named = set(self.state["folders"].values())
-        for name in sorted(f for f in self.files.folders() if f.startswith("v="))[: -keep - 1]:
-            if name not in named:
-                self.files.remove(name)
+        """Delete folders that aren't parts any more, but for the newest ones, which readers may still be on."""
+        named = {p["folder"] for p in self.state["parts"]}
+        for name in sorted(f for f in self.files.folders() if f.startswith("v=") and f not in named)[:-keep]:
+            self.files.remove(name)

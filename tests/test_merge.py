@@ -52,6 +52,27 @@ def test_any_split_gives_the_fold(spark, seed):
     assert {r.k: (r.a, r.b) for r in whole.collect()} == want
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_soft_split_gives_the_fold(spark, seed):
+    """Columns left out after a soft delete are null, however the log is split."""
+    rows = random_log(seed)
+    cuts = sorted(random.Random(seed).sample(range(1, len(rows)), 4))
+    target = spark.createDataFrame([], "k long, a long, b string, _is_deleted boolean")
+    parts = []
+    for a, z in zip([0, *cuts], [*cuts, len(rows)]):
+        log = spark.createDataFrame(rows[a:z], SCHEMA)
+        target = spark.createDataFrame(merge.merge(target, log, ["k"], ["a", "b"], deletes="soft").collect(), target.schema)
+        parts.append(merge.state_of(log, ["k"], ["a", "b"]))
+    live = {k: v[:2] for k, v in fold(rows, soft=True).items() if not v[2]}
+    assert {r.k: (r.a, r.b) for r in target.collect() if not r._is_deleted} == live
+    random.Random(seed).shuffle(parts)  # states combine in any order, and twice
+    states = parts[0]
+    for p in parts[1:] + parts[:2]:
+        states = states.unionByName(p)
+    seen = merge.visible(merge.combine(states, ["k"], ["a", "b"]), ["k"], ["a", "b"], "soft").collect()
+    assert {r.k: (r.a, r.b) for r in seen if not r._is_deleted} == live and {r.k for r in seen} == set(fold(rows, soft=True))
+
+
 def test_replay_changes_nothing(spark):
     log = spark.createDataFrame(random_log(3), SCHEMA)
     once = merge.merge(spark.createDataFrame([], "k long, a long, b string"), log, ["k"], ["a", "b"])

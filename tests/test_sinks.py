@@ -38,7 +38,7 @@ def test_json_files(spark, tmp_path):
     sink = sinks.create("json_files", spark, f"file://{tmp_path}/json")
     sink.write(log(spark), 1)
     sink.write(log(spark), 1)
-    got = spark.read.json(f"file://{tmp_path}/json").where(F.col("table") == "t")
+    got = spark.read.json(f"file://{tmp_path}/json").where(F.col("table") == "s.t")
     assert sorted((r.k, r._op_type, r._is_deleted) for r in got.collect()) == [(1, 0, False), (1, 2, True)]
     assert spark.read.json(f"file://{tmp_path}/json").where("table = '_own'").count() == 0
 

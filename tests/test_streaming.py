@@ -19,7 +19,7 @@ LOG = "k long, v string, op int, pos decimal(20,0), seq long, unchanged array<st
 
 
 def target(spark, path, **more):
-    return Target(spark, f"file://{path}/t", spark.createDataFrame([], "k long, v string").schema, ["k"], buckets=4, **more)
+    return Target(spark, f"file://{path}/t", spark.createDataFrame([], "k long, v string").schema, ["k"], **more)
 
 
 def rows(spark, *r):
@@ -37,17 +37,50 @@ def test_publish_replay_and_restart(spark, tmp_path):
     assert [tuple(r) for r in again.read().collect()] == [(2, "b")]
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
     t = target(spark, tmp_path)
     t.apply(rows(spark, *[(k, "x", 0, k) for k in range(40)]), 0)
-    before = dict(t.state["folders"])
     t.apply(rows(spark, (7, "y", 1, 99)), 1)
-    assert sum(before[b] != t.state["folders"].get(b) for b in before) == 1 and t.read().count() == 40
+    last = t.state["parts"][-1]["folder"]
+    assert spark.read.parquet(f"{t.path}/{last}").count() == 1 and t.read().count() == 40
+    for k in range(2, 12):
+        t.apply(rows(spark, (k, "z", 1, 100 + k)), k)
+    assert len(t.state["parts"]) < 6 and {r.k: r.v for r in t.read().collect()} == {k: "z" if 2 <= k < 12 else "x" for k in range(40)}
+
+
+def test_any_order_of_batches_and_chunks(spark, tmp_path):
+    """Log batches and backfilled chunks that arrive in any order give the same table; a chunk doesn't overwrite newer log rows."""
+    import itertools
+
+    source = spark.createDataFrame([(k, "snap") for k in range(6)], "k long, v string")
+    steps = [("log", rows(spark, (1, "old", 1, 40), (2, None, 2, 60))), ("log", rows(spark, (3, "log", 1, 100), (4, None, 2, 30), (9, "new", 0, 101))), ("chunk", source)]
+    want = {0: "snap", 1: "snap", 3: "log", 4: "snap", 5: "snap", 9: "new"}
+    for n, order in enumerate(itertools.permutations(steps)):
+        t = target(spark, tmp_path / str(n))
+        for k, (kind, what) in enumerate(order):
+            assert copy(what, t, 50, k) if kind == "chunk" else t.apply(what, k)
+        assert {r.k: r.v for r in t.read().collect()} == want
+    t.forget(1000)
+    t.compact(every=True)
+    assert {r.k: r.v for r in t.read().collect()} == want and spark.read.parquet(f"{t.path}/{t.state['parts'][0]['folder']}").count() == len(want)
+
+
+def test_malformed_images_stop_the_batch(spark, tmp_path):
+    for bad in ('{"k":2,"v":', '{"k":"x","v":"b"}', '{"v":"b"}'):
+        log = envelope(spark, (0, None, {"k": 1, "v": "a"}, [], 1)).withColumn("after", F.lit(bad))
+        with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|without a key"):
+            Normalizer({"s.t": target(spark, tmp_path)})(log, 0)
+
+
+def test_a_new_schema_at_start_adds_its_columns(spark, tmp_path):
+    target(spark, tmp_path).apply(rows(spark, (1, "a", 0, 1)), 0)
+    wider = Target(spark, f"file://{tmp_path}/t", spark.createDataFrame([], "k long, v string, w int").schema, ["k"])
+    assert [tuple(r) for r in wider.read().collect()] == [(1, "a", None)]
 
 
 def test_unpublished_attempt_is_overwritten(spark, tmp_path):
     t = target(spark, tmp_path)
-    rows(spark, (5, "lost", 0, 1)).write.parquet(f"file://{tmp_path}/t/v=00000001/_bucket=0")
+    rows(spark, (5, "lost", 0, 1)).write.parquet(f"file://{tmp_path}/t/v=00000001")
     t.apply(rows(spark, (1, "a", 0, 1)), 0)
     assert [tuple(r) for r in t.read().collect()] == [(1, "a")]
 
