@@ -89,6 +89,12 @@ def safe_identifier(name: str) -> bool:
     return 1 <= len(parts) <= 2 and ".".join(parts) == name and all(_BARE.match(p) or _QUOTED.match(p) for p in parts)
 
 
+def safe_identifier_column(x):
+    """safe_identifier as a column expression."""
+    part = r'([A-Za-z_][A-Za-z0-9_$]*|"[A-Za-z0-9_$ -]+")'
+    return x.rlike(rf"^{part}(\.{part})?\z") & ~x.rlike(r"--|/\*|;")
+
+
 def split_table(name: str, default: str = "public") -> tuple[str, str]:
     head, dot, tail = name.partition(".")
     return (head, tail) if dot else (default, name)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.functions import scalar, types
 from changeloom.model import DELETE
 from changeloom.operators import merge as ops
 
+# Fixed value: the catalog's number of the money type.
+MONEY_OID = 790
+
 
 def project(log: DataFrame) -> DataFrame:
     """Envelope data rows as staging rows. The order key is the position, or the commit time in nanoseconds for rows without one."""
@@ -38,6 +43,20 @@ def extract(json: Column, name: str, kind: T.DataType, lenient: bool = False) ->
     return text.try_cast(kind) if lenient else text.cast(kind)
 
 
+def extract_variant(json: Column, name: str, data_type: str, oid: int | None = None, precision: int = 38, scale: int = 9) -> Column:
+    """A field of a JSON image by its source type: bytes from base64, JSON as JSON text (null if it isn't JSON), decimals where they parse, money texts without
+    their signs, arrays as JSON arrays, all else cast."""
+    text = F.get_json_object(json, f"$['{name}']")
+    if oid == MONEY_OID:
+        return scalar.strip_money(text).try_cast(types.spark_type("Decimal", precision, scale))
+    if oid in types.PG_ARRAY_OID or data_type in ("Json", "Jsonb"):
+        return F.when(F.try_parse_json(text).isNotNull(), text)
+    if data_type == "Bytes":
+        return F.unbase64(text)
+    kind = types.spark_type(data_type, precision, scale)
+    return text.try_cast(kind) if data_type == "Decimal" else text.cast(kind)
+
+
 def typed(raw: DataFrame, schema: T.StructType, lenient: bool = False) -> DataFrame:
     """Staging rows of one table as a log in the columns of schema."""
     cols = [extract(F.col("_data"), f.name, f.dataType, lenient).alias(f.name) for f in schema.fields]
@@ -50,6 +69,18 @@ def normalize_range(target: DataFrame, raw: DataFrame, table: str, schema: T.Str
     return ops.merge(target, typed(mine, schema), keys, [f.name for f in schema.fields if f.name not in keys], deletes, mode)
 
 
+def missing_tables(wanted: DataFrame, published: DataFrame, default: str = "public") -> DataFrame:
+    """The wanted tables (table_name) that aren't published; a name without a schema is one of the default schema."""
+    full = F.when(F.contains("table_name", F.lit(".")), F.col("table_name")).otherwise(F.concat(F.lit(f"{default}."), "table_name"))
+    return wanted.withColumn("_full", full).join(published.select(full.alias("_full")), "_full", "left_anti").drop("_full")
+
+
+def pointers(batches: DataFrame) -> DataFrame:
+    """(batch_id, pointer) of rows (batch_id, pos): the highest position up to each batch, so a pointer never goes back. One row a batch stands in the window."""
+    by_batch = batches.groupBy("batch_id").agg(F.max("pos").alias("pos"))
+    return by_batch.select("batch_id", F.max("pos").over(W.orderBy("batch_id")).alias("pointer"))
+
+
 def replica_identity(code: Column) -> Column:
     """What a table's replica identity means for change capture."""
     # The codes of the catalog.

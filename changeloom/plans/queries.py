@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.functions import scalar
-from changeloom.operators import gtid, merge, reconcile, schema, snapshot
+from changeloom.operators import gtid, merge, raw, reconcile, schema, snapshot
 from changeloom.plans.changelog import oracle_log, oracle_turns, orders_log, table, turns_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,7 +421,7 @@ def pg_array_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_projection", "SELECT event_id, CAST(props ->> '$.k' AS bigint) AS k FROM events")
 def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", raw.extract_variant(F.col("props"), "k", "Int64").alias("k"))
 
 
 _IMAGE = "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey FROM customer"
@@ -474,10 +474,7 @@ def lag_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("monotone_pointer", LOG + "done AS (SELECT 1) SELECT batch_id, max(max(pos)) OVER (ORDER BY batch_id) AS pointer FROM log GROUP BY batch_id")
 def monotone_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    by_batch = orders_log(spark, sf_dir).groupBy("batch_id").agg(F.max("pos").alias("pos"))
-    return by_batch.select("batch_id", F.max("pos").over(W.orderBy("batch_id")).alias("pointer"))
+    return raw.pointers(orders_log(spark, sf_dir))
 
 
 _CATALOG = [("orders", "note", "String", None), ("orders", "id", "Int64", 2), ("orders", "code", "String", 1), ("items", "qty", "Int32", None), ("items", "item_id", "Int32", 2), ("items", "order_id", "Int64", 1), ("tags", "name", "String", 1)]
@@ -490,9 +487,8 @@ def catalog_pk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("publication_missing_tables", "SELECT n_name AS table_name FROM nation WHERE 'public.' || n_name NOT IN (SELECT 'public.' || n_name FROM nation WHERE n_nationkey % 3 = 0)")
 def publication_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation")
-    full = lambda df: df.select(F.when(F.contains("n_name", F.lit(".")), F.col("n_name")).otherwise(F.concat(F.lit("public."), "n_name")).alias("q"), "n_name")
-    return full(names).join(full(names.where("n_nationkey % 3 = 0")).select("q"), "q", "left_anti").select(F.col("n_name").alias("table_name"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("table_name"), "n_nationkey")
+    return raw.missing_tables(names.drop("n_nationkey"), names.where("n_nationkey % 3 = 0"))
 
 
 @query("job_names", "SELECT n_name, regexp_replace(n_name || '-job.1', '[^A-Za-z0-9]', '_', 'g') AS job, upper(regexp_replace(n_name || '-job.1', '[^A-Za-z0-9]', '_', 'g')) AS upper_job FROM nation")

@@ -69,19 +69,27 @@ def typed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", raw.extract(j, "k", T.LongType()).alias("k"), raw.extract(j, "k", T.DecimalType(12, 2), lenient=True).alias("d"), raw.extract(j, "nothing", T.LongType()).alias("absent"))
 
 
-_ALL = [(d, n, types.target_type(d, n, 50, 9)) for d in types.TARGET for n in types.TARGET[d]]
+# The seventeen data types in each dialect, decimals asked for with 50 digits.
+_TYPES = (
+    "('postgres', 'Boolean', 'boolean'), ('postgres', 'Int16', 'smallint'), ('postgres', 'Int32', 'integer'), ('postgres', 'Int64', 'bigint'), ('postgres', 'Float32', 'real'), ('postgres', 'Float64', 'double precision'), ('postgres', 'Decimal', 'numeric'), ('postgres', 'String', 'text'), ('postgres', 'Text', 'text'), ('postgres', 'Bytes', 'bytea'), ('postgres', 'Json', 'jsonb'), ('postgres', 'Jsonb', 'jsonb'), ('postgres', 'Uuid', 'uuid'), ('postgres', 'Date', 'date'), ('postgres', 'Time', 'time without time zone'), ('postgres', 'Timestamp', 'timestamp without time zone'), ('postgres', 'TimestampTz', 'timestamp with time zone'), "
+    "('starrocks', 'Boolean', 'BOOLEAN'), ('starrocks', 'Int16', 'SMALLINT'), ('starrocks', 'Int32', 'INT'), ('starrocks', 'Int64', 'BIGINT'), ('starrocks', 'Float32', 'FLOAT'), ('starrocks', 'Float64', 'DOUBLE'), ('starrocks', 'Decimal', 'DECIMAL(38,9)'), ('starrocks', 'String', 'STRING'), ('starrocks', 'Text', 'STRING'), ('starrocks', 'Bytes', 'VARBINARY'), ('starrocks', 'Json', 'JSON'), ('starrocks', 'Jsonb', 'JSON'), ('starrocks', 'Uuid', 'STRING'), ('starrocks', 'Date', 'DATE'), ('starrocks', 'Time', 'STRING'), ('starrocks', 'Timestamp', 'DATETIME'), ('starrocks', 'TimestampTz', 'DATETIME'), "
+    "('snowflake', 'Boolean', 'BOOLEAN'), ('snowflake', 'Int16', 'SMALLINT'), ('snowflake', 'Int32', 'INT'), ('snowflake', 'Int64', 'BIGINT'), ('snowflake', 'Float32', 'FLOAT'), ('snowflake', 'Float64', 'DOUBLE'), ('snowflake', 'Decimal', 'NUMBER(38,9)'), ('snowflake', 'String', 'VARCHAR'), ('snowflake', 'Text', 'VARCHAR'), ('snowflake', 'Bytes', 'BINARY'), ('snowflake', 'Json', 'VARIANT'), ('snowflake', 'Jsonb', 'VARIANT'), ('snowflake', 'Uuid', 'VARCHAR(36)'), ('snowflake', 'Date', 'DATE'), ('snowflake', 'Time', 'TIME'), ('snowflake', 'Timestamp', 'TIMESTAMP_NTZ'), ('snowflake', 'TimestampTz', 'TIMESTAMP_TZ')"
+)
 
 
-@query("type_map", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{n}', '{t}')" for d, n, t in _ALL) + ") v(dialect, data_type, target_type)")
+@query("type_map", f"SELECT * FROM (VALUES {_TYPES}) v(dialect, data_type, target_type)")
 def type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d, n, types.target_type(d, n, 50, 9)) for d in types.TARGET for n in types.TARGET[d]], "dialect string, data_type string, target_type string")
 
 
-@query("identifier_check", "SELECT n_name, n_name || '; x' AS bad, true AS ok, false AS bad_ok FROM nation WHERE regexp_full_match(n_name, '[A-Za-z_][A-Za-z0-9_$]*')")
+_PART = """([A-Za-z_][A-Za-z0-9_$]*|"[A-Za-z0-9_$ -]+")"""
+
+
+@query("identifier_check", f"""SELECT n_name, regexp_full_match(n_name, '{_PART}') AS bare, true AS quoted, true AS dotted, false AS two_statements, false AS remark, false AS three_parts FROM nation""")
 def identifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.col("n_name").rlike(r"^[A-Za-z_][A-Za-z0-9_$]*$")
-    bad = F.concat("n_name", F.lit("; x"))
-    return table(spark, sf_dir, "nation").where(bare).select("n_name", bad.alias("bad"), bare.alias("ok"), bad.rlike(r"^[A-Za-z_][A-Za-z0-9_$]*$").alias("bad_ok"))
+    """Nation names as identifiers: bare, in quotes, with a schema, and in forms that must not reach a statement."""
+    forms = {"bare": "{}", "quoted": '"{}"', "dotted": 'shop."{}"', "two_statements": "{}; x", "remark": "{}--", "three_parts": 'a.b."{}"'}
+    return table(spark, sf_dir, "nation").select("n_name", *[types.safe_identifier_column(F.format_string(f.replace("{}", "%s"), "n_name")).alias(k) for k, f in forms.items()])
 
 
 @query("replica_identity", "SELECT c, CASE c WHEN 'f' THEN 'ok' WHEN 'd' THEN 'warning: old values hold the key only' WHEN 'n' THEN 'error: no old values' WHEN 'i' THEN 'info: old values hold an index''s columns' END AS said FROM (VALUES ('f'), ('d'), ('n'), ('i'), ('x')) v(c)")

@@ -70,6 +70,10 @@ class Files:
             return []
         return [s.getPath().getName() for s in self.fs.listStatus(self._path("")) if s.isDirectory()]
 
+    def rename(self, name: str, to: str) -> None:
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{name} can't be renamed to {to} in {self.root}")
+
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 

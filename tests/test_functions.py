@@ -65,3 +65,12 @@ def test_identifiers(name, ok):
 
 def test_quoting():
     assert types.quote("a.b`c") == "`a`.`b``c`" and types.split_table("x") == ("public", "x") and types.split_table("s.x") == ("s", "x")
+
+
+def test_identifier_column_is_the_function(spark):
+    from changeloom.functions import types
+
+    names = ["orders", "public.orders", '"My Table"', 'a."b c"', "users; DROP TABLE users--", "users ", "", "a.b.c", 'a"b', "1a", "a/*b", '"a--b"', '"a""b"', "a\n", "."]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r.n: r.ok for r in rows.select("n", types.safe_identifier_column(rows.n).alias("ok")).collect()}
+    assert got == {n: types.safe_identifier(n) for n in names} and sum(got.values()) == 4

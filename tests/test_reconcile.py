@@ -58,3 +58,42 @@ def test_complete_chunks_stay_complete(spark):
     again = spark.createDataFrame([("t", 1, 0, 5, 0, "PENDING", None), ("t", 2, 5, 9, 0, "PENDING", None)], snapshot.STATE)
     assert {(r.partition_id, r.status) for r in snapshot.set_state(state, again).collect()} == {(1, "COMPLETE"), (2, "PENDING")}
     assert snapshot.add_missing(state, again).count() == 2
+
+
+def test_range_joins_have_no_nested_loop(spark):
+    """Keys meet their chunks by equality of a cell, in each of the three joins; rows are those of the plain range."""
+    from changeloom.operators import reconcile, snapshot
+
+    chunks = spark.createDataFrame([("t", k, -50 + 10 * k, -40 + 10 * k, 5, 30, 20) for k in range(10) if k != 4], "src_table string, partition_id long, start_pk long, end_pk long, low long, high long, hw long")
+    log = spark.createDataFrame([("t", k % 117 - 60, k % 40, 1) for k in range(400)] + [("t", None, 3, 1), ("u", 1, 3, 1)], "src_table string, k long, pos long, op int")
+    where = {c.partition_id: (c.start_pk, c.end_pk) for c in chunks.collect()}
+    rows = [(r.src_table, r.k, r.pos) for r in log.collect()]
+    inside = lambda r: [p for p, (a, z) in where.items() if r[0] == "t" and r[1] is not None and a <= r[1] < z]
+    of = snapshot.chunk_of(log.where("src_table = 't'"), "k", chunks)
+    assert sorted((r.k, r.pos, r.partition_id) for r in of.collect()) == sorted((*r[1:], p) for r in rows for p in inside(r))
+    left = reconcile.drop_snapshotted(log, chunks, "k")
+    assert sorted(map(str, ((r.src_table, r.k, r.pos) for r in left.collect()))) == sorted(map(str, (r for r in rows if not inside(r) or r[2] > 20)))
+    gone = reconcile.evictions(log, chunks, "k")
+    assert {(r.partition_id, r.k) for r in gone.collect()} == {(p, r[1]) for r in rows for p in inside(r) if 5 < r[2] <= 30}
+    for df in (of, left, gone):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_active_chunks(spark):
+    import pytest
+
+    from changeloom.errors import SourceError
+    from changeloom.operators.active import ActiveChunks
+
+    a = ActiveChunks()
+    a.register("t", 1, 0, 10, 100)
+    with pytest.raises(SourceError):
+        a.register("t", 1, 0, 10, 100)
+    a.register("t", 2, 10, 20, 100)
+    a.set_high("t", 1, 105)
+    with pytest.raises(SourceError):
+        a.set_high("t", 2, 99)
+    log = spark.createDataFrame([("t", 3, 101), ("t", 4, 106), ("t", 12, 101), ("u", 3, 101)], "src_table string, k long, pos long")
+    assert [tuple(r) for r in a.evicted(log, "k").collect()] == [("t", 1, 3)] and set(a.of("t")) == {1, 2}
+    a.deregister("t", 1)
+    assert a.evicted(log, "k").count() == 0
