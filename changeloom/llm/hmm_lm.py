@@ -37,7 +37,7 @@ from changeloom.llm.common import ascii_words, columns, discard, in_worker, mate
 STATES, OWN, SHARED, HOT, LONG = 8, 4096, 256, 200_000, 64
 PASSES, GAIN = 13, 0.001
 #: Characters of a batch: the more, the more texts share a step of the recursion.
-CHARS = 12 << 20
+CHARS = 6 << 20
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 SMOOTH = 0.01
