@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.errors import PositionGap
 from changeloom.functions import scalar, types
 from changeloom.operators import active, gtid, merge, raw, schema, snapshot
 from changeloom.plans.changelog import batch_ids, orders_log, table
@@ -15,7 +16,7 @@ from changeloom.plans.queries import FOLD, LAST, LOG, query
 from changeloom.plans.staged import ROWS
 from changeloom.plans.streamed import _RESULT, envelope
 from changeloom.sources import binlog, pgoutput, registry
-from changeloom.streaming import control
+from changeloom.streaming import control, restart
 from changeloom.streaming.backfill import copy
 from changeloom.streaming.sinks import RawParquet, drain
 from changeloom.streaming.snapshot_run import SnapshotRun
@@ -299,6 +300,47 @@ def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
+@query("snapshot_again", _RESULT)
+def snapshot_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot that is forgotten after its table was copied and taken again at a later mark, then the log's batches."""
+    base = shared_dir(spark, "again")
+    log = orders_log(spark, sf_dir)
+    target = Target(spark, f"{base}/target", ROWS, ["k"])
+    bounds = snapshot.key_range(table(spark, sf_dir, "orders"), "o_orderkey")
+    for place, pos in enumerate((5_000_000, 15_000_000)):
+        run = SnapshotRun(spark, f"{base}/state", "orders", target, "k", wave=2)
+        if place:
+            run.forget()
+        run.prepare(bounds, (bounds.select((F.col("hi") - F.col("lo") + 4).alias("n")).first().n or 4) // 4)
+        run.run(lambda start, end, pos=pos: _table_at(log, pos), lambda pos=pos: pos)
+    for k in batch_ids(log):
+        target.apply(log.where(F.col("batch_id") == k).drop("batch_id"), k)
+    return target.read()
+
+
+@query("restart_positions", values("stored string, goes_on boolean", [("u:1-5,v:3", True), ("u:1-9", False), ("u:2-5,v:3", False), ("", False)]))
+def restart_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sets against a source that purged u:1-4 and v:3: one holds them, two lack some, one is no position."""
+    rows = []
+    for stored in ("u:1-5,v:3", "u:1-9", "u:2-5,v:3", ""):
+        try:
+            rows.append((stored, restart.check_position(spark, stored, "u:1-4,v:3")))
+        except PositionGap:
+            rows.append((stored, False))
+    return spark.createDataFrame(rows, "stored string, goes_on boolean")
+
+
+@query("restart_columns", "SELECT c_custkey, c_name, CAST(NULL AS varchar) AS note FROM customer")
+def restart_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target whose source got a column and dropped another while the job was down."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
+    path = f"{shared_dir(spark, 'columns')}/target"
+    target = Target(spark, path, rows.schema, ["c_custkey"])
+    copy(rows, target, 1, 0)
+    restart.reconcile_target(target, T._parse_datatype_string("c_custkey long, note string"))
+    return Target(spark, path, rows.schema, ["c_custkey"]).read()
+
+
 @query("staged_drain_retry", _RESULT)
 def staged_drain_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged batches drained into a target that fails once before and once after a publication."""

@@ -28,23 +28,38 @@ class SnapshotRun:
     def __init__(self, spark: SparkSession, path: str, name: str, target: Target, key: str, wave: int = 8, job: Job | None = None):
         self.spark, self.path, self.name, self.target, self.key, self.wave, self.job = spark, path, name, target, key, wave, job or Job(name)
         self.files, self.active = Files(spark, path), ActiveChunks()
+        self._name(int(self.files.read("RUN") or 0))
+
+    def _name(self, number: int) -> None:
+        self.number, tail = number, f"-{number}" if number else ""
+        self.plan, self.waves, self.feed = f"plan{tail}", f"wave{tail}=", f"snapshot{tail}"
+
+    def forget(self) -> None:
+        """Start over: for a source whose log begins anew, so that chunks copied before may have missed changes. One renamed file makes the plan and
+        waves so far stale, and the target's batches of the next run a feed of their own; the folders go after that. Rows that went at the source with no record of it stay in
+        the target."""
+        old = [f for f in self.files.folders() if f.startswith(("plan", "wave"))]
+        self.files.replace("RUN", str(self.number + 1))
+        self._name(self.number + 1)
+        for f in old:
+            self.files.remove(f)
 
     def prepare(self, bounds: DataFrame, size: int) -> None:
         """Write the plan for a row of bounds (lo, hi, n), unless there is one: chunks keep their ranges over restarts."""
-        if "plan" not in self.files.folders():
+        if self.plan not in self.files.folders():
             snapshot.plan(bounds, size).write.mode("overwrite").parquet(f"{self.path}/.plan")
-            self.files.rename(".plan", "plan")
+            self.files.rename(".plan", self.plan)
 
     def done(self) -> DataFrame:
         """(partition_id, start_pk, end_pk, low, hw) of the finished chunks."""
-        waves = [f for f in self.files.folders() if f.startswith("wave=")]
+        waves = [f for f in self.files.folders() if f.startswith(self.waves)]
         kind = "partition_id long, start_pk long, end_pk long, low decimal(20,0), hw decimal(20,0)"
         return self.spark.read.schema(kind).parquet(*[f"{self.path}/{w}" for w in sorted(waves)]) if waves else self.spark.createDataFrame([], kind)
 
     def state(self) -> DataFrame:
         """Chunk states: (table_name, partition_id, start_pk, end_pk, status)."""
         done = self.done().select("partition_id", F.lit(snapshot.COMPLETE).alias("done"))
-        plan = self.spark.read.parquet(f"{self.path}/plan").join(done, "partition_id", "left")
+        plan = self.spark.read.parquet(f"{self.path}/{self.plan}").join(done, "partition_id", "left")
         return plan.select(F.lit(self.name).alias("table_name"), "partition_id", "start_pk", "end_pk", F.coalesce("done", F.lit(snapshot.PENDING)).alias("status"))
 
     def run(self, read: Callable[[int, int], DataFrame], mark: Callable[[], int], changes: Callable[[int, int], DataFrame] | None = None) -> int:
@@ -53,7 +68,7 @@ class SnapshotRun:
         self.job.stage, waves = SNAPSHOT, 0
         while chunks := self.state().where(F.col("status") != snapshot.COMPLETE).orderBy("partition_id").limit(self.wave).collect():
             self.job.check()
-            number = len([f for f in self.files.folders() if f.startswith("wave=")])
+            number = len([f for f in self.files.folders() if f.startswith(self.waves)])
             low = mark()
             for c in chunks:
                 self.active.register(self.name, c.partition_id, c.start_pk, c.end_pk, low)
@@ -66,9 +81,9 @@ class SnapshotRun:
             if changes is not None and high > low:
                 rows = reconcile.without_evicted(rows, self.active.evicted(changes(low, high).withColumn("src_table", F.lit(self.name)), self.key), self.key)
             log = rows.select(*self.target.keys, *self.target.values, F.lit(INSERT).alias("op"), F.lit(low).cast("decimal(20,0)").alias("pos"), F.lit(-1).cast("long").alias("seq"))
-            self.target.apply(log, number, "snapshot")
+            self.target.apply(log, number, self.feed)
             wave.select("*", F.lit(low).cast("decimal(20,0)").alias("low"), F.lit(high).cast("decimal(20,0)").alias("hw")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/.wave")
-            self.files.rename(".wave", f"wave={number:08d}")
+            self.files.rename(".wave", f"{self.waves}{number:08d}")
             for c in chunks:
                 self.active.deregister(self.name, c.partition_id)
             waves += 1
