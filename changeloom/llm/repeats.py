@@ -80,7 +80,7 @@ class Units:
         first_word = np.cumsum(lens) - lens
         self.unit = np.flatnonzero(start)
         self.doc = doc[self.unit]
-        stopw = np.append(self.unit[1:], len(at))
+        stopw = np.append(self.unit[1:], len(at))[: len(self.unit)]  # no unit: no border either
         self.words = stopw - self.unit
         self.begin = ends[at[self.unit]] - ends[first_word[self.doc]]
         last = at[stopw - 1]

@@ -210,6 +210,12 @@ def test_passage_stays_once_and_other_words_stay(spark):
     assert repeats.kept_text(docs.where("false")).count() == 0
 
 
+def test_texts_without_words_stay(spark):
+    rows = [(1, ""), (2, None), (3, " \n "), (4, "\n")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows and all(r.removed is None for r in got)
+
+
 def test_a_repeated_row_keeps_one_copy(spark):
     """Rows that share a doc_id, with equal or other texts, and columns named like the operator's own."""
     passage = "Alpha " + " ".join(f"w{k}" for k in range(40)) + "."
