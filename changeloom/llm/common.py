@@ -189,4 +189,4 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word."""
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w or "") for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words.fill_null("").to_numpy(zero_copy_only=False)), np.uint64, len(words))

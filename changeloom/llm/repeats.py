@@ -49,19 +49,36 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded(pc.split_pattern(lines, " "))
 
 
+def word_facts(words: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of distinct words: the hash of the normalised word, whether it is more than white space, a line break, ends a sentence, begins with an
+    upper-case letter, and its length in characters (a line break has 0). ASCII words without control characters are told by their bytes, all at once."""
+    words = words.cast(pa.string())
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off -= off[0]
+    size = np.diff(off)
+    real = size > 0
+    odd = np.diff(np.concatenate([[0], np.cumsum((data <= 32) | (data >= 128))])[off]) > 0
+    head, tail = np.zeros(len(words), np.uint8), np.zeros(len(words), np.uint8)
+    head[real], tail[real] = data[off[:-1][real]], data[off[1:][real] - 1]
+    upper, stop, brk = (head >= 65) & (head <= 90), np.isin(tail, np.frombuffer(b".!?", np.uint8)), np.zeros(len(words), bool)
+    folded = pc.ascii_lower(words)
+    if odd.any():
+        at = np.flatnonzero(odd)
+        said = words.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        real[at], brk[at] = [bool(w.strip()) for w in said], [w == "\n" for w in said]
+        stop[at], upper[at] = [w.endswith(_ENDS) for w in said], [w[:1].isupper() for w in said]
+        size[at] = [0 if w == "\n" else len(w) for w in said]
+        folded = pc.replace_with_mask(folded, pa.array(odd), pa.array([" ".join(w.lower().split()) for w in said], pa.string()))
+    return mix(word_hashes(folded)), real, brk, stop, upper, size
+
+
 class Units:
     """Units and paragraph digests of a batch of texts."""
 
     def __init__(self, text: pa.Array, min_words: int):
         codes, words, lens = words_of(text)
-        said = words.to_pylist()
-        folded = pa.array([" ".join(w.lower().split()) for w in said], pa.string())
-        h = mix(word_hashes(folded))
-        real = np.array([bool(w.strip()) for w in said], bool) if said else np.zeros(0, bool)
-        brk = np.array([w == "\n" for w in said], bool) if said else np.zeros(0, bool)
-        stop = np.array([w.endswith(_ENDS) for w in said], bool) if said else np.zeros(0, bool)
-        upper = np.array([w[:1].isupper() for w in said], bool) if said else np.zeros(0, bool)
-        size = np.array([0 if b else len(w) for w, b in zip(said, brk.tolist(), strict=True)], np.int64)
+        h, real, brk, stop, upper, size = word_facts(words)
         real_of = real[codes] if len(codes) else np.zeros(0, bool)
         at = np.flatnonzero(real_of)  # the words proper, by place in the batch
         doc = np.repeat(np.arange(len(lens)), lens)[at]

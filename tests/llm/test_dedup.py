@@ -210,6 +210,16 @@ def test_passage_stays_once_and_other_words_stay(spark):
     assert repeats.kept_text(docs.where("false")).count() == 0
 
 
+def test_word_facts_are_those_of_each_word():
+    said = ["Aa", "", "\n", "b.", "é", "École!", "ΟΔΟΣ.", "a\tB", "\x1c", "x\x7f", "你好。", "Z", "9?", "\r", "İ", "…"]
+    for words in (pa.array(said), pa.array(said).slice(3, 7), pa.array([], pa.string())):
+        h, real, brk, stop, upper, size = (x.tolist() for x in repeats.word_facts(words))
+        w = words.to_pylist()
+        assert h == repeats.mix(repeats.word_hashes(pa.array([" ".join(x.lower().split()) for x in w], pa.string()))).tolist()
+        assert real == [bool(x.strip()) for x in w] and brk == [x == "\n" for x in w] and stop == [x.endswith(repeats._ENDS) for x in w]
+        assert upper == [x[:1].isupper() for x in w] and size == [0 if x == "\n" else len(x) for x in w]
+
+
 def test_texts_without_words_stay(spark):
     rows = [(1, ""), (2, None), (3, " \n "), (4, "\n")]
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
