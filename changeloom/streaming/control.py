@@ -88,6 +88,12 @@ class Job:
             if self.state == STOPPED:
                 raise Stopped(self.name)
 
+    def wait(self, seconds: float) -> None:
+        """Between batches: wait so long, less if the job is told something."""
+        with self._wake:
+            if self.state == RUNNING:
+                self._wake.wait(seconds)
+
     def done(self, batch: int, records: int, commit: datetime | None, seconds: float) -> None:
         self.batches, self.records, self.last_batch = self.batches + 1, self.records + records, batch
         if commit is not None:

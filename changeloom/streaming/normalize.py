@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from changeloom.model import DELETE, SCHEMA_CHANGE, TRUNCATE
 from changeloom.operators import merge as ops
 from changeloom.operators import reconcile
 from changeloom.operators.schema import plan
-from changeloom.streaming.control import Job
+from changeloom.streaming.control import CDC, DRAINING, STOPPED, Job, Stopped
 from changeloom.streaming.store import Target
 
 
@@ -83,3 +84,23 @@ def start(stream: DataFrame, normalizer: Normalizer, checkpoint: str, once: bool
     """Run the normaliser on a stream; once: all there is now, then stop (drain)."""
     writer = stream.writeStream.foreachBatch(normalizer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+def run(stream: DataFrame, normalizer: Normalizer, checkpoint: str, poll: float = 2.0) -> None:
+    """Follow a stream until its job is stopped, in rounds that take all there is at their start; `poll` seconds lie between them. A paused job waits
+    before its next batch, a stopped one ends before it. A job told to drain makes one more round, begun after it was told, and is stopped then."""
+    job = normalizer.job
+    job.stage = CDC
+    try:
+        while True:
+            job.check()
+            last = job.state == DRAINING
+            start(stream, normalizer, checkpoint).awaitTermination()
+            if last:
+                job.stop()
+            job.wait(poll)
+    except Stopped:
+        return
+    except StreamingQueryException:
+        if job.error is not None or job.state != STOPPED:
+            raise

@@ -12,7 +12,7 @@ from changeloom.model import ENVELOPE
 from changeloom.operators import schema
 from changeloom.streaming.backfill import chunks_of, copy
 from changeloom.streaming.control import Config, Job, Stopped
-from changeloom.streaming.normalize import Normalizer
+from changeloom.streaming.normalize import Normalizer, run
 from changeloom.streaming.store import Target
 
 LOG = "k long, v string, op int, pos decimal(20,0), seq long, unchanged array<string>"
@@ -149,3 +149,30 @@ def test_config():
         Config.from_env({k: v for k, v in env.items() if k != "CHANGELOOM_TARGET"})
     with pytest.raises(ConfigError):
         Config.from_env(env | {"CHANGELOOM_BATCH": "-1"})
+
+
+def test_a_job_drains_what_came_before_it_was_told(spark, tmp_path):
+    t, source = target(spark, tmp_path), f"file://{tmp_path}/log"
+    put = lambda k: envelope(spark, (0, None, {"k": k, "v": "a"}, [], k)).coalesce(1).write.mode("append").parquet(source)
+    put(1)
+    n, seen = Normalizer({"s.t": t}), []
+    follow = lambda: run(spark.readStream.schema(ENVELOPE).parquet(source), n, f"file://{tmp_path}/ck", 60)
+    thread = threading.Thread(target=lambda: seen.append(follow()))
+    thread.start()
+    while n.job.batches < 1:
+        assert thread.is_alive()
+        thread.join(0.2)
+    put(2)
+    assert n.job.drain()["stage"] == "cdc"
+    thread.join(60)
+    assert seen == [None] and n.job.state == "stopped" and sorted(r.k for r in t.read().collect()) == [1, 2]
+    follow()  # a stopped job takes nothing more
+    assert n.job.batches == 2
+
+
+def test_a_failing_batch_ends_the_run_with_its_error(spark, tmp_path):
+    n, source = Normalizer({"s.t": target(spark, tmp_path)}), f"file://{tmp_path}/log"
+    envelope(spark, (0, None, {"v": "a"}, [], 1)).write.parquet(source)
+    with pytest.raises(Exception, match="without a key"):
+        run(spark.readStream.schema(ENVELOPE).parquet(source), n, f"file://{tmp_path}/ck", 0)
+    assert n.job.state == "stopped" and n.job.health()["ok"] is False
