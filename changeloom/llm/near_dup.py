@@ -305,11 +305,12 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
 
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair of other sizes is similar
     rows = keys(classes)
-    hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = rows.join(hubs, "key").select("d1", F.col("hub.d1").alias("k_b"), alike(F.col("n"), F.col("hub.n")).alias("near")).distinct()
+    hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.max("d1").alias("last"), F.count("*").alias("size")).where("size > 1")
+    met = rows.join(hubs, "key").where("d1 <> hub.d1 or d1 = last")  # the hub stands beside the others; alone if all bear its 64 bits
+    shared = met.select("d1", F.col("hub.d1").alias("k_b"), alike(F.col("n"), F.col("hub.n")).alias("near")).distinct()
     shared = materialize(shared, "shared")
     free_disk(docs)
-    meeting = classes.join(shared.select("d1").distinct(), "d1", "left_semi")  # the classes that share a key with any other
+    meeting = classes.join(shared.select(F.explode(F.array("d1", "k_b")).alias("d1")).distinct(), "d1", "left_semi")  # the classes that share a key with any other
     sets = full_sets(docs, meeting.select(F.col("rep").alias("node")), n)
     side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     pairs = shared.where("near and d1 > k_b").select(F.col("d1").alias("k_a"), "k_b").join(side("a"), "k_a").join(side("b"), "k_b")
