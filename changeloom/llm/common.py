@@ -47,6 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a table (or documents it tells of) for each file, where that leaves a task to every core.
+FILE_ROWS = 10_000
+
+
+def few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many parts as so many rows need, or as there are cores. To be written: a file for each of the shuffle's partitions costs
+    an executor memory and, on a local folder, two processes a file (for its mode), whose start counts its memory twice."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete materialized frames that no later step reads."""
     for df in frames:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import ascii_words, columns, discard, free_name, id_of, in_worker, materialize, mix, row_key, whole_groups, word_hashes
+from changeloom.llm.common import ascii_words, columns, discard, few_parts, free_name, id_of, in_worker, materialize, mix, row_key, whole_groups, word_hashes
 from changeloom.llm.components import components
 
 Q, M, BINS = 3, 10, 256
@@ -144,7 +144,7 @@ def keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(each).alias("key"), "d1", "n")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int, total: int) -> DataFrame:
     """(node, set) for the wanted nodes, written once: the sorted 64-bit hashes as bytes. The wanted grow with the input, so they aren't broadcast."""
 
     @in_worker
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in shingle_sets(text, n)], pa.binary())], names=["node", "set"])
 
     some = docs.join(wanted.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    out = materialize(some.mapInArrow(run, "node binary, set binary"), "sets")
+    out = materialize(few_parts(some, total).mapInArrow(run, "node binary, set binary"), "sets")
     free_disk(docs)
     return out
 
@@ -301,26 +301,28 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     """A row for each of docs: node (null without a doc_id), n (size of its set), root (the least node that can be reached)."""
     docs = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, n), "signatures")
-    classes = materialize(signed.where("n > 0 and node is not null").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("half").alias("half"), F.first("sketch").alias("sketch")), "classes")
+    total = signed.count()
+    put = lambda df, name: materialize(few_parts(df, total), name)
+    classes = put(signed.where("n > 0 and node is not null").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("half").alias("half"), F.first("sketch").alias("sketch")), "classes")
 
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair of other sizes is similar
     rows = keys(classes)
     hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.max("d1").alias("last"), F.count("*").alias("size")).where("size > 1")
     met = rows.join(hubs, "key").where("d1 <> hub.d1 or d1 = last")  # the hub stands beside the others; alone if all bear its 64 bits
     shared = met.select("d1", F.col("hub.d1").alias("k_b"), alike(F.col("n"), F.col("hub.n")).alias("near")).distinct()
-    shared = materialize(shared, "shared")
+    shared = put(shared, "shared")
     free_disk(docs)
     meeting = classes.join(shared.select(F.explode(F.array("d1", "k_b")).alias("d1")).distinct(), "d1", "left_semi")  # the classes that share a key with any other
-    sets = full_sets(docs, meeting.select(F.col("rep").alias("node")), n)
+    sets = full_sets(docs, meeting.select(F.col("rep").alias("node")), n, total)
     side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     pairs = shared.where("near and d1 > k_b").select(F.col("d1").alias("k_a"), "k_b").join(side("a"), "k_a").join(side("b"), "k_b")
-    pairs = materialize(pairs.where(plausible("sketch_a", "sketch_b", percent)).select("a", "b", "k_b"), "pairs")
+    pairs = put(pairs.where(plausible("sketch_a", "sketch_b", percent)).select("a", "b", "k_b"), "pairs")
 
     first = pairs.groupBy("a").agg(F.min_by("b", "k_b").alias("b"))
-    links = materialize(verified(first.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links")
+    links = put(verified(first.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links")
     found = components(links)
     apart = labelled(labelled(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y")
-    links2 = materialize(verified(apart, sets, percent), "links")
+    links2 = put(verified(apart, sets, percent), "links")
     found2 = components(links2)
     free_disk(docs)
 
@@ -334,7 +336,7 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     member = labelled(labelled(labelled(classes.select("d1", "d2", "rep"), found, "rep", "c1"), found2, "c1", "c"), found3, "c", "root").select("d1", "d2", "root")
     out = signed.select("node", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
     root = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.col("root")).otherwise(F.col("node"))
-    out = materialize(out.select("node", "n", root.alias("root")), "near")
+    out = put(out.select("node", "n", root.alias("root")), "near")
     discard(signed, classes, shared, pairs, sets, links, found, links2, found2, dealt._layout, asked, links3, found3)
     free_disk(docs)
     return out
@@ -352,7 +354,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = near_rows(docs, n, percent, "doc_id", "text")
     kept = rows.where("node = root").groupBy("node").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
     kept = kept.withColumn("again", F.expr("copies > 1 and n > 0"))
-    single, several = materialize(kept.where("not again").select("node"), "kept"), materialize(kept.where("again").select("node"), "kept")
+    total = rows.count()
+    single, several = (materialize(few_parts(kept.where(which).select("node"), total), "kept") for which in ("not again", "again"))
     key = free_name(docs, "node")
     keyed = docs.withColumn(key, row_key("doc_id", "text"))
     of = lambda nodes: keyed.join(nodes.withColumnRenamed("node", key), key, "left_semi")

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import coded, columns, discard, free_name, in_worker, materialize, mix, word_hashes
+from changeloom.llm.common import coded, columns, discard, few_parts, free_name, in_worker, materialize, mix, word_hashes
 
 MIN_WORDS = 30
 LONG, ANCHOR, EDGE = 51, 26, 5
@@ -202,12 +202,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sketch long, doc_id long, row long, key long, more boolean")
 
 
-def long_repeats(docs: DataFrame) -> DataFrame:
+def long_repeats(docs: DataFrame, total: int) -> DataFrame:
     """Of rows (doc_id, row, text): (doc_id, row, runs): runs of LONG words that repeat an occurrence of lower rank, joined where they overlap, as [begin, end) offsets in characters."""
     by = W.partitionBy("key")
     rows = sketches(docs)
     rows = rows.withColumn("n", F.count("*").over(by)).withColumn("any", F.max("more").over(by)).where("n > 1 or any")
-    wanted = materialize(rows.groupBy("doc_id", "row").agg(F.collect_set("sketch").alias("sketches")), "sketches")
+    wanted = materialize(few_parts(rows.groupBy("doc_id", "row").agg(F.collect_set("sketch").alias("sketches")), total), "sketches")
     docs.sparkSession._jvm.System.gc()
     some = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "sketches", "text")
 
@@ -254,7 +254,7 @@ def long_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), runs)], names=["doc_id", "row", "runs"])
 
     grouped = rows.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans"))
-    out = materialize(grouped.mapInArrow(joined, "doc_id long, row long, runs array<struct<begin:int,end:int>>"), "runs")
+    out = materialize(few_parts(grouped, total).mapInArrow(joined, "doc_id long, row long, runs array<struct<begin:int,end:int>>"), "runs")
     discard(wanted)
     docs.sparkSession._jvm.System.gc()
     return out
@@ -347,8 +347,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     named = twins(docs, id_col, text_col)
     key, row = named._names
     texts = named.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    long = long_repeats(texts)
-    found = materialize(repeated_spans(texts, min_words).join(long, ["doc_id", "row"], "full"), "spans")
+    total = docs.count()
+    long = long_repeats(texts, total)
+    found = materialize(few_parts(repeated_spans(texts, min_words).join(long, ["doc_id", "row"], "full"), total), "spans")
     discard(long)
     docs.sparkSession._jvm.System.gc()
     names = [c for c in docs.columns if c != spans_col]

@@ -31,6 +31,63 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_by_steps(spark, monkeypatch):
+    """Few edges are followed at once, more by joins: both as plain union-find, for numbers and bytes, with nulls and loops."""
+    from changeloom.llm import components as module
+
+    r = random.Random(5)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(k + 1, k) for k in range(200, 260)] + [(5, 5)]
+    up = {}
+    for a, b in edges:
+        if a != b:
+            a, b = find(up, a), find(up, b)
+            up[max(a, b)] = min(a, b)
+    want = {x: find(up, x) for x in list(up)}
+    frame = spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")
+    named = frame.selectExpr("cast(lpad(hex(a), 4, '0') as binary) a", "cast(lpad(hex(b), 4, '0') as binary) b")
+    for few in (0, len(edges) + 1, len(edges) + 2):
+        monkeypatch.setattr(module, "FEW", few)
+        assert {x.node: x.component for x in components(frame).collect()} == want
+        assert {int(x.node, 16): int(x.component, 16) for x in components(named).collect()} == want
+        assert components(frame).count() == len(want)
+
+
+def test_few_files_with_many_partitions(spark, monkeypatch):
+    """A table that an operator writes for itself has a file a core or for each 10,000 rows, not one for each shuffle partition."""
+    import pathlib
+    import sys
+
+    from changeloom.llm import common
+
+    files = {}
+
+    def counted(df, name, put=common.materialize):
+        out = put(df, name)
+        path = pathlib.Path(out._changeloom_path.removeprefix("file:").replace("//", "/"))
+        files[name] = max(files.get(name, 0), len(list(path.glob("part-*"))))
+        return out
+
+    for module in ("near_dup", "repeats", "components"):
+        monkeypatch.setattr(sys.modules[f"changeloom.llm.{module}"], "materialize", counted)
+    most = spark.sparkContext.defaultParallelism
+    r = random.Random(3)
+    said = [" ".join(f"{r.choice(WORDS)}{r.randrange(500)}" for _ in range(70)) for _ in range(60)]
+    docs = spark.createDataFrame([(3 * k + j, text + " end" * j) for k, text in enumerate(said) for j in range(3)], "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = common.materialize(docs.coalesce(1), "docs")
+        assert {x.component_id for x in near_dup.near_duplicates(docs, 4).collect()} == set(range(0, 180, 3))
+        assert repeats.remove_repeats(docs).where("removed is not null").count() == 120
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    steps = ("classes", "shared", "sets", "pairs", "components", "near", "sketches", "runs", "spans")
+    assert all(0 < files[k] <= most for k in steps), files
+
+
 def sets(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
