@@ -191,7 +191,7 @@ def labelled(df: DataFrame, found: DataFrame, node: str, label: str) -> DataFram
 GROUP = ["i", "h", "lo", "hi"]
 
 
-def blocks(met: DataFrame) -> DataFrame:
+def blocks(met: DataFrame, total: int) -> DataFrame:
     """Rows (i, h, c, rep, n, ...) of groups with more than one component, dealt to pairs of blocks: with block, lo and hi added.
 
     A group of up to ROWS rows is one block. In a larger one the rows of its largest component have blocks of their own, which meet all
@@ -201,7 +201,7 @@ def blocks(met: DataFrame) -> DataFrame:
     many = lambda k, s: F.ceil(F.greatest(k / ROWS, s / ELEMENTS)).cast("int")
     one = (F.col("k") <= ROWS) & (F.col("s") <= ELEMENTS)
     layout = layout.select("i", "h", F.col("most.c").alias("large"), F.when(one, 1).otherwise(many(F.col("k") - F.col("most.k"), F.col("s") - F.col("most.s"))).alias("others"), F.when(one, 0).otherwise(many(F.col("most.k"), F.col("most.s"))).alias("own"))
-    layout = materialize(layout, "layout")
+    layout = materialize(few_parts(layout, total), "layout")
     inside = (F.col("c") == F.col("large")) & (F.col("own") > 0)
     deal = lambda most: F.pmod(F.xxhash64("rep"), most).cast("int")
     dealt = met.join(layout, ["i", "h"]).withColumn("block", F.when(inside, F.col("others") + deal(F.greatest("own", F.lit(1)))).otherwise(deal(F.col("others"))))
@@ -307,12 +307,14 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
 
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair of other sizes is similar
     rows = keys(classes)
-    hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.max("d1").alias("last"), F.count("*").alias("size")).where("size > 1")
-    met = rows.join(hubs, "key").where("d1 <> hub.d1 or d1 = last")  # the hub stands beside the others; alone if all bear its 64 bits
+    hubs = rows.groupBy("key").agg(F.min(F.struct("d1", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    met = rows.join(hubs, "key").where("d1 <> hub.d1")
     shared = met.select("d1", F.col("hub.d1").alias("k_b"), alike(F.col("n"), F.col("hub.n")).alias("near")).distinct()
     shared = put(shared, "shared")
     free_disk(docs)
-    meeting = classes.join(shared.select(F.explode(F.array("d1", "k_b")).alias("d1")).distinct(), "d1", "left_semi")  # the classes that share a key with any other
+    twice = classes.groupBy("d1").count().where("count > 1").select("d1")  # classes with one 64-bit name, which meet in round three
+    meeting = shared.select(F.explode(F.array("d1", "k_b")).alias("d1")).unionByName(twice).distinct()
+    meeting = classes.join(meeting, "d1", "left_semi")  # the classes that share a key with any other
     sets = full_sets(docs, meeting.select(F.col("rep").alias("node")), n, total)
     side = lambda x: classes.select(F.col("d1").alias(f"k_{x}"), F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     pairs = shared.where("near and d1 > k_b").select(F.col("d1").alias("k_a"), "k_b").join(side("a"), "k_a").join(side("b"), "k_b")
@@ -327,7 +329,7 @@ def near_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     free_disk(docs)
 
     marked = labelled(labelled(meeting, found, "rep", "c1"), found2, "c1", "c").drop("c1")
-    dealt = blocks(marked.select(F.posexplode(F.slice("half", 1, M)).alias("i", "h"), "rep", "n", "c", "half", "sketch"))
+    dealt = blocks(marked.select(F.posexplode(F.slice("half", 1, M)).alias("i", "h"), "rep", "n", "c", "half", "sketch"), total)
     asked = materialize(asking(dealt, percent), "asked")
     free_disk(docs)
     links3 = materialize(linked(asked, sets, percent), "links")

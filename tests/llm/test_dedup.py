@@ -84,7 +84,7 @@ def test_few_files_with_many_partitions(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    steps = ("classes", "shared", "sets", "pairs", "components", "near", "sketches", "runs", "spans")
+    steps = ("classes", "shared", "sets", "pairs", "layout", "components", "near", "sketches", "runs", "spans")
     assert all(0 < files[k] <= most for k in steps), files
 
 
