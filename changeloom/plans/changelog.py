@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Over orders: inserts of all keys, price updates of every third, updates without the price of every seventh, deletes of every
 #: eleventh, and inserts anew of every twenty-second. Positions are unique within a key.
@@ -46,6 +47,16 @@ def batch_ids(log: DataFrame) -> list[int]:
     return sorted(r.batch_id for r in log.select("batch_id").distinct().collect())
 
 
+#: Positions that one file of a recorded log has at most; a batch has ten such ranges.
+SPAN = 1_000_000
+
+
+def recorded(log: DataFrame, path: str) -> DataFrame:
+    """The log written once, in folders by batch and files by ranges of positions, side by side: a batch is then read without the others."""
+    log.repartition(F.floor(F.col("pos") / SPAN)).sortWithinPartitions("batch_id").write.partitionBy("batch_id").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
 def turns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TURNS_LOG, conversations=table(spark, sf_dir, "conversations")).selectExpr("*", "0L AS seq")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from changeloom.errors import PositionGap
 from changeloom.functions import scalar, types
 from changeloom.operators import active, gtid, merge, raw, schema, snapshot
-from changeloom.plans.changelog import batch_ids, orders_log, table
+from changeloom.plans.changelog import batch_ids, orders_log, recorded, table
 from changeloom.plans.queries import FOLD, LAST, LOG, query
 from changeloom.plans.staged import ROWS
 from changeloom.plans.streamed import _RESULT, envelope
@@ -244,8 +244,9 @@ CASE WHEN s.op = 2 THEN del.price WHEN pr_at IS NOT NULL AND (gone IS NULL OR pr
 @query("merge_soft_split", _SOFT)
 def merge_soft_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in its batches, the last ones first, into a target with soft deletes: deleted rows carry the full old image."""
-    target = Target(spark, f"{shared_dir(spark, 'split')}/target", ROWS, ["k"], deletes="soft")
-    log = orders_log(spark, sf_dir)
+    base = shared_dir(spark, "split")
+    target = Target(spark, f"{base}/target", ROWS, ["k"], deletes="soft")
+    log = recorded(orders_log(spark, sf_dir), f"{base}/recorded")
     for place, k in enumerate(reversed(batch_ids(log))):
         target.apply(log.where(F.col("batch_id") == k).drop("batch_id"), place)
     return target.read()
@@ -345,7 +346,7 @@ def restart_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_drain_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged batches drained into a target that fails once before and once after a publication."""
     base = shared_dir(spark, "retry")
-    staged, log = RawParquet(spark, f"{base}/raw"), envelope(orders_log(spark, sf_dir))
+    staged, log = RawParquet(spark, f"{base}/raw"), envelope(recorded(orders_log(spark, sf_dir), f"{base}/recorded"))
     for k in batch_ids(log):
         staged.write(log.where(F.col("batch_id") == k), k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from changeloom.functions import types
 from changeloom.operators import raw
-from changeloom.plans.changelog import batch_ids, orders_log, table
+from changeloom.plans.changelog import batch_ids, orders_log, recorded, table
 from changeloom.plans.queries import FOLD, LAST, LOG, OLD, old_target, query
 from changeloom.plans.streamed import envelope
 from changeloom.streaming.sinks import JsonFiles, RawParquet, drain
@@ -42,7 +42,7 @@ CASE WHEN pr_at IS NOT NULL AND (gone IS NULL OR pr_at >= gone) THEN price END A
 def staged_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches staged as Parquet, then merged in order into a target with soft deletes; live rows."""
     base = shared_dir(spark, "staged")
-    staged, log = RawParquet(spark, f"{base}/raw"), envelope(orders_log(spark, sf_dir))
+    staged, log = RawParquet(spark, f"{base}/raw"), envelope(recorded(orders_log(spark, sf_dir), f"{base}/recorded"))
     for k in batch_ids(log):
         staged.write(log.where(F.col("batch_id") == k), k)
     target = Target(spark, f"{base}/target", ROWS, ["k"], deletes="soft")
@@ -54,7 +54,7 @@ def staged_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches written as JSON lines and read back; one comes twice."""
     path = shared_dir(spark, "json")
-    sink, log = JsonFiles(spark, path), envelope(orders_log(spark, sf_dir))
+    sink, log = JsonFiles(spark, path), envelope(recorded(orders_log(spark, sf_dir), shared_dir(spark, "recorded")))
     for k in (batches := batch_ids(log)) + batches[1:2]:
         sink.write(log.where(F.col("batch_id") == k), k)
     return spark.read.schema("k long, price double, _op_type int, _is_deleted boolean, _cdc_version long, batch int, `table` string").json(path).drop("batch", "table")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.plans.changelog import batch_ids, orders_log, table
+from changeloom.plans.changelog import batch_ids, orders_log, recorded, table
 from changeloom.plans.queries import FOLD, LAST, LOG, query
 from changeloom.sources import pgoutput
 from changeloom.streaming.normalize import Normalizer, start
@@ -33,14 +33,15 @@ def envelope(log: DataFrame) -> DataFrame:
 
 @query("stream_normalize", _RESULT)
 def stream_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Parquet file a batch, read as a stream; every micro-batch is merged into a target and published."""
+    """Batches that come one after another as Parquet files of a stream; every micro-batch is one of them, merged into a target and published."""
     base = shared_dir(spark, "stream")
-    log = envelope(orders_log(spark, sf_dir))
-    for k in batch_ids(log):
-        log.where(F.col("batch_id") == k).coalesce(1).write.mode("append").parquet(f"{base}/log")
+    log = recorded(orders_log(spark, sf_dir), f"{base}/recorded")
     target = Target(spark, f"{base}/target", spark.createDataFrame([], "k long, status string, price double").schema, ["k"])
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
-    start(stream, Normalizer({"shop.orders": target}), f"{base}/checkpoint").awaitTermination()
+    for k in batch_ids(log):
+        batch = envelope(log.where(F.col("batch_id") == k))
+        batch.write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{base}/log")
+        start(stream, Normalizer({"shop.orders": target}), f"{base}/checkpoint").awaitTermination()
     return target.read()
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from changeloom.plans import changelog, probes, staged, streamed
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -58,5 +59,30 @@ def test_large_keys_reach_later_batches(spark, tmp_path, name):
     assert sorted(tuple(plain(v) for v in r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("name", ["stream_normalize", "staged_drain", "json_sink", "merge_soft_split", "staged_drain_retry"])
+def test_a_log_is_made_once(spark, monkeypatch, name):
+    """However many batches a log has: each takes its own rows, not all of them."""
+    log, made = changelog.orders_log(spark, SF), spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            made.add(len(p))
+            yield p
+
+    for plans in (streamed, staged, probes):
+        monkeypatch.setattr(plans, "orders_log", lambda spark, sf_dir: log.mapInPandas(counted, log.schema))
+    entry.queries()[name](spark, SF).collect()
+    assert made.value == log.count()
+
+
+def test_a_recorded_batch_is_read_without_the_others(spark, tmp_path):
+    log = changelog.orders_log(spark, SF)
+    kept = changelog.recorded(log, str(tmp_path / "log"))
+    assert kept.columns == log.columns and sorted(map(str, kept.collect())) == sorted(map(str, log.collect()))
+    for k in (ids := changelog.batch_ids(kept))[1:]:
+        (tmp_path / f"log/batch_id={k}").rename(tmp_path / f"{k}")
+    assert kept.where(F.col("batch_id") == ids[0]).count() == log.where(F.col("batch_id") == ids[0]).count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
