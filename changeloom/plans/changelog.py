@@ -47,8 +47,8 @@ def batch_ids(log: DataFrame) -> list[int]:
     return sorted(r.batch_id for r in log.select("batch_id").distinct().collect())
 
 
-#: Positions that one file of a recorded log has at most; a batch has ten such ranges.
-SPAN = 1_000_000
+#: Positions that one file of a recorded log has at most; a batch has twenty such ranges.
+SPAN = 500_000
 
 
 def recorded(log: DataFrame, path: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Normalizer:
     def __call__(self, log: DataFrame, batch: int) -> None:
         began = time.time()
         self.job.check()
-        log = log.persist()
+        log = log.select("src_schema", "src_table", "op", "before", "after", "unchanged", "pos", "seq", "commit_ts").persist()
         try:
             # One row a table: what the batch holds, so that steps it doesn't need start no job.
             held = lambda op: F.count_if(F.col("op") == op)

@@ -106,7 +106,8 @@ class Target:
         if not parts:
             return self.spark.createDataFrame([], self._stored())
         rows = self.spark.read.schema(self._stored()).parquet(*[f"{self.path}/{p['folder']}" for p in parts])
-        return rows if len(parts) == 1 else ops.combine(rows, self.keys, self.values)
+        # A part holds a key once, so pre-aggregating would sort all rows once more and join next to none.
+        return rows if len(parts) == 1 else ops.combine(rows.repartition(*self.keys), self.keys, self.values)
 
     def read(self) -> DataFrame:
         """The published rows."""
