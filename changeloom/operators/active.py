@@ -48,7 +48,7 @@ class ActiveChunks:
         from decimal import Decimal
 
         rows = [(t, c, w.start, w.end, Decimal(w.low), Decimal(w.high)) for (t, c), w in self.windows.items() if w.high is not None]
-        return reconcile.evictions(log, log.sparkSession.createDataFrame(rows, kind), key)
+        return reconcile.evictions(log, F.broadcast(log.sparkSession.createDataFrame(rows, kind)), key)
 
 
 def in_range(value: Column, start: Column, end: Column) -> Column:

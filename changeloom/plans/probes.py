@@ -253,9 +253,8 @@ def merge_soft_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_at(log: DataFrame, pos: int) -> DataFrame:
-    """The table as it was at a position of its log."""
-    empty = log.sparkSession.createDataFrame([], ROWS)
-    return merge.merge(empty, log.where(F.col("pos") <= pos), ["k"], ["status", "price"])
+    """The table as it was at a position of its log. A log of some keys gives the rows of those. They stay dealt out by key, so that a target takes them with no other shuffle."""
+    return merge.visible(merge.state_of(log.where(F.col("pos") <= pos), ["k"], ["status", "price"]), ["k"], ["status", "price"])
 
 
 @query("backfill_after_log", _RESULT)
@@ -305,7 +304,7 @@ def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot that is forgotten after its table was copied and taken again at a later mark, then the log's batches."""
     base = shared_dir(spark, "again")
-    log = orders_log(spark, sf_dir)
+    log = recorded(orders_log(spark, sf_dir), f"{base}/recorded")
     target = Target(spark, f"{base}/target", ROWS, ["k"])
     bounds = snapshot.key_range(table(spark, sf_dir, "orders"), "o_orderkey")
     for place, pos in enumerate((5_000_000, 15_000_000)):
@@ -313,7 +312,7 @@ def snapshot_again(spark: SparkSession, sf_dir: str) -> DataFrame:
         if place:
             run.forget()
         run.prepare(bounds, (bounds.select((F.col("hi") - F.col("lo") + 4).alias("n")).first().n or 4) // 4)
-        run.run(lambda start, end, pos=pos: _table_at(log, pos), lambda pos=pos: pos)
+        run.run(lambda start, end, pos=pos: _table_at(snapshot.scan(log, "k", start, end), pos), lambda pos=pos: pos)
     for k in batch_ids(log):
         target.apply(log.where(F.col("batch_id") == k).drop("batch_id"), k)
     return target.read()

@@ -23,7 +23,7 @@ from changeloom.streaming.store import Files, Target
 
 
 class SnapshotRun:
-    """Copies one table into a target. wave: chunks that are copied at a time."""
+    """Copies one table into a target. wave: chunks that are copied at a time, few enough to be sent to every task."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, target: Target, key: str, wave: int = 8, job: Job | None = None):
         self.spark, self.path, self.name, self.target, self.key, self.wave, self.job = spark, path, name, target, key, wave, job or Job(name)
@@ -74,12 +74,12 @@ class SnapshotRun:
                 self.active.register(self.name, c.partition_id, c.start_pk, c.end_pk, low)
             start, end = min(c.start_pk for c in chunks), max(c.end_pk for c in chunks)
             wave = self.spark.createDataFrame([(c.partition_id, c.start_pk, c.end_pk) for c in chunks], "partition_id long, start_pk long, end_pk long")
-            rows = snapshot.chunk_of(snapshot.scan(read(start, end), self.key, start, end), self.key, wave).withColumn("src_table", F.lit(self.name))
+            rows = snapshot.chunk_of(snapshot.scan(read(start, end), self.key, start, end), self.key, F.broadcast(wave)).withColumn("src_table", F.lit(self.name))
             high = mark()
             for c in chunks:
                 self.active.set_high(self.name, c.partition_id, high)
             if changes is not None and high > low:
-                rows = reconcile.without_evicted(rows, self.active.evicted(changes(low, high).withColumn("src_table", F.lit(self.name)), self.key), self.key)
+                rows = reconcile.without_evicted(rows, self.active.evicted(snapshot.scan(changes(low, high), self.key, start, end).withColumn("src_table", F.lit(self.name)), self.key), self.key)
             log = rows.select(*self.target.keys, *self.target.values, F.lit(INSERT).alias("op"), F.lit(low).cast("decimal(20,0)").alias("pos"), F.lit(-1).cast("long").alias("seq"))
             self.target.apply(log, number, self.feed)
             wave.select("*", F.lit(low).cast("decimal(20,0)").alias("low"), F.lit(high).cast("decimal(20,0)").alias("hw")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/.wave")

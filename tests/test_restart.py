@@ -45,3 +45,29 @@ def test_a_forgotten_snapshot_is_taken_again(spark, tmp_path):
         assert run.run(lambda start, end, rows=rows: rows, lambda place=place: place + 1) == 2
         assert SnapshotRun(spark, path, "t", target, "k").run(None, None) == 0
         assert {r.v for r in target.read().collect()} == {v}
+
+
+def test_a_waves_rows_are_not_dealt_out_by_chunk(spark, tmp_path):
+    """A wave has few chunks: rows or changes dealt out by them would meet in as few tasks, however large the table. That mustn't hang on a setting."""
+    plans, setting = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+
+    class Told(Target):
+        def apply(self, log, batch, feed="log"):
+            plans.append(log._jdf.queryExecution().executedPlan().toString())
+            return super().apply(log, batch, feed)
+
+    rows = spark.range(60).selectExpr("id AS k", "'s' AS v")
+    log = spark.range(60).selectExpr("id AS k", "1 AS op", "CAST(5 AS decimal(20,0)) AS pos").where("k % 20 = 7")
+    marks = iter(range(0, 90, 10))
+    target = Told(spark, str(tmp_path / "t"), KIND, ["k"])
+    run = SnapshotRun(spark, str(tmp_path / "s"), "t", target, "k", wave=2)
+    run.prepare(snapshot.key_range(rows, "k"), 15)
+    try:
+        assert run.run(lambda start, end: rows, lambda: next(marks), lambda low, high: log) == 2
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted(r.k for r in target.read().collect()) == [k for k in range(60) if k % 20 != 7 or k > 30]
+    assert plans and not any("hashpartitioning" in line and "_cell" in line for p in plans for line in p.splitlines())
+    assert all("BroadcastHashJoin" in p for p in plans)
