@@ -271,7 +271,7 @@ def backfill_after_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A concurrent snapshot in waves of two chunks while log batches arrive; the third wave fails once, and another run resumes from the state."""
     base = shared_dir(spark, "run")
-    log = orders_log(spark, sf_dir)
+    log = recorded(orders_log(spark, sf_dir), f"{base}/recorded")
     target, marks, failed = Target(spark, f"{base}/target", ROWS, ["k"]), [0], []
     target.apply(log.where("batch_id = 0").drop("batch_id"), 0)
 
@@ -283,7 +283,7 @@ def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if len(marks) > 5 and not failed:
             failed.append(True)
             raise OSError("the connection was lost")
-        return _table_at(log, marks[-1] + 2_000_000)
+        return _table_at(snapshot.scan(log, "k", start, end), marks[-1] + 2_000_000)
 
     changes = lambda low, high: log.where((F.col("pos") > low) & (F.col("pos") <= high))
     bounds = snapshot.key_range(table(spark, sf_dir, "orders"), "o_orderkey")

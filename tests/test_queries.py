@@ -59,7 +59,7 @@ def test_large_keys_reach_later_batches(spark, tmp_path, name):
     assert sorted(tuple(plain(v) for v in r) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["stream_normalize", "staged_drain", "json_sink", "merge_soft_split", "staged_drain_retry", "snapshot_again"])
+@pytest.mark.parametrize("name", ["stream_normalize", "staged_drain", "json_sink", "merge_soft_split", "staged_drain_retry", "snapshot_again", "snapshot_run"])
 def test_a_log_is_made_once(spark, monkeypatch, name):
     """However many batches a log has: each takes its own rows, not all of them."""
     log, made = changelog.orders_log(spark, SF), spark.sparkContext.accumulator(0)
